@@ -40,3 +40,17 @@ def partitions(spark: SparkSession) -> int:
 def by_bucket(df: DataFrame, column: str = "bucket") -> DataFrame:
     """One partition a bucket number, moved by number and not by hash, so that buckets spread evenly."""
     return df.repartitionById(partitions(df.sparkSession), F.col(column).cast("int"))
+
+
+#: Ids that a broadcast may hold; more are joined by a shuffle.
+BROADCAST_IDS = 400_000
+
+
+def restrict(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """The rows of df whose key is (left_semi) or isn't (left_anti) in ``ids``, a written table of distinct keys.
+
+    Its size is counted: up to BROADCAST_IDS keys are broadcast, so that df
+    isn't moved; beyond that both sides are shuffled, with the same result.
+    """
+    small = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if small else ids.hint("shuffle_hash"), key, how)
