@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tritsift.llm import bpe, decontaminate, jaccard, lines, passages, quality, urls
+from tritsift.llm import bpe, decontaminate, jaccard, licenses, lines, materialize, passages, quality, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dropped_lines(_table(spark, sf_dir, "documents"))
 
 
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize.shards(_table(spark, sf_dir, "documents"))
+
+
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -33,6 +41,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return licenses.license_lines(docs, licenses.train(docs))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.quality_scores(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
@@ -42,5 +55,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op4_decontamination, op5_jaccard_join, op6_repeated_passages, op7_byte_bpe, op9_quality, op10_url_filter)}
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": lines.dropped_lines_sql(), "op5_jaccard_join": jaccard.near_groups_sql(), "op10_url_filter": urls.url_filter_sql()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_training_order, op3_exact_topk, op4_decontamination, op5_jaccard_join, op6_repeated_passages, op7_byte_bpe, op8_license_scan, op9_quality, op10_url_filter)}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": lines.dropped_lines_sql(), "op3_exact_topk": topk.top_documents_sql(), "op5_jaccard_join": jaccard.near_groups_sql(), "op10_url_filter": urls.url_filter_sql()}
