@@ -174,3 +174,15 @@ def test_urls(spark):
     assert got[None].rejected and urls.url_filter(spark.createDataFrame([], "page_id bigint, url string")).count() == 0
     with pytest.raises(ValueError):
         urls.url_filter(spark.createDataFrame([], "page_id bigint, url string"), urls.UrlVocabulary(soft={"a": 3.0}))
+
+
+def test_shards_share_their_statistics(spark):
+    p = decontaminate.DecontaminationParams(shard_bytes=400)
+    bench = spark.createDataFrame([x for x in items() if x[1] and x[0] is not None], "item_id bigint, text string").distinct()
+    whole = decontaminate.count_items([decontaminate.split_item(i, t, p.n) for i, t in bench.collect()], p)
+    seen = 0
+    for shard, stats in decontaminate._shards(bench, p):
+        seen += len(shard)
+        assert (stats.pieces, round(stats.mean, 9)) == (whole.pieces, round(whole.mean, 9))
+        assert stats.df.tolist() == whole.df[np.searchsorted(whole.terms, stats.terms)].tolist()
+    assert seen == bench.count()

@@ -17,7 +17,8 @@ its last sentence where it has several, else its last third; an answer shorter
 than n words is extended to n.
 
 The index holds at most ``shard_bytes`` of item text at a time, which are
-broadcast; more items are taken in several passes over the documents. Null or
+broadcast; more items are taken in several passes over the documents, with the
+document frequencies and the mean length of all items. Null or
 empty documents hold nothing; null or empty items are never found; items with a
 null item_id are left out. Rows that repeat an item or a document count once in
 the result. Other columns are ignored and pass through ``decontaminate``.
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tritsift.llm import packed
+from tritsift.llm import packed, store
 from tritsift.llm import text as tx
 
 _U = np.uint64
@@ -87,14 +88,34 @@ def split_item(item_id: int, text: str, n: int) -> Item:
     return Item(item_id, h, _grams(h[: len(h) - tail] if len(h) - tail >= n else h, n), _grams(h[len(h) - tail :], n))
 
 
-def build_index(items: list[Item], p: DecontaminationParams) -> list[Index]:
-    """Indexes of up to ``index`` pieces each; document frequencies and the mean length are those of all pieces."""
-    pieces = [(i, it.words[s : s + p.piece]) for i, it in enumerate(items) for s in range(0, len(it.words), p.piece)]
+@dataclass
+class Stats:
+    """Number and mean length of all pieces, and in how many each of some words, in order, stands."""
+
+    pieces: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def cut_items(items: list[Item], p: DecontaminationParams) -> list[tuple[int, np.ndarray]]:
+    return [(i, it.words[s : s + p.piece]) for i, it in enumerate(items) for s in range(0, len(it.words), p.piece)]
+
+
+def count_items(items: list[Item], p: DecontaminationParams) -> Stats:
+    pieces = [w for _, w in cut_items(items, p)]
+    terms, df = np.unique(np.concatenate([np.unique(w) for w in pieces] or [np.zeros(0, _U)]), return_counts=True)
+    return Stats(len(pieces), sum(map(len, pieces)) / max(len(pieces), 1), terms, df)
+
+
+def build_index(items: list[Item], p: DecontaminationParams, stats: Stats | None = None) -> list[Index]:
+    """Indexes of up to ``index`` pieces each, with the statistics of all items; without them, of these."""
+    pieces = cut_items(items, p)
     if not pieces:
         return []
-    every, df = np.unique(np.concatenate([np.unique(w) for _, w in pieces]), return_counts=True)
-    idf = np.log(1 + (len(pieces) - df + 0.5) / (df + 0.5))
-    mean = sum(len(w) for _, w in pieces) / len(pieces)
+    stats = stats or count_items(items, p)
+    every, mean = stats.terms, stats.mean
+    idf = np.log(1 + (stats.pieces - stats.df + 0.5) / (stats.df + 0.5))
     out = []
     for s in range(0, len(pieces), p.index):
         some = pieces[s : s + p.index]
@@ -165,23 +186,45 @@ def leaks(arr: pa.Array, items: list[Item], indexes: list[Index], p: Decontamina
     return [(r, i, q, a) for (r, i), (q, a) in sorted(best.items())]
 
 
-def _shards(benchmark: DataFrame, p: DecontaminationParams) -> Iterator[list[tuple[int, str]]]:
-    """The items, at most about shard_bytes of them at a time."""
+def _counts(p: DecontaminationParams):
+    """(term, pieces with it) of a task's items, and under a null term its pieces and their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = count_items([split_item(0, t, p.n) for t in batch.column("text").to_pylist()], p)
+            term, n = [*c.terms.view(np.int64).tolist(), None], [*c.df.tolist(), c.pieces]
+            yield pa.record_batch({"term": pa.array(term, pa.int64()), "n": pa.array(n, pa.int64()), "words": pa.array([0] * len(c.df) + [round(c.mean * c.pieces)], pa.int64())})
+
+    return run
+
+
+def _shards(benchmark: DataFrame, p: DecontaminationParams) -> Iterator[tuple[list[tuple[int, str]], Stats | None]]:
+    """The items, at most about shard_bytes of them at a time, and where there are more the statistics of all."""
     rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text <> ''").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // p.shard_bytes)
+    if n > 1:
+        counted = store.cut(rows.select("text").mapInArrow(_counts(p), "term bigint, n bigint, words bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")))
+        every = counted.where("term is null").first()
     for i in range(n):
-        yield sorted((r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect())
-
-
-def _finder(docs: DataFrame, shard: list[tuple[int, str]], p: DecontaminationParams) -> Callable[[pa.Array], list[tuple[int, int, float, float]]]:
-    shared = docs.sparkSession.sparkContext.broadcast(shard)
+        shard = sorted((r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect())
+        stats = None
+        if n > 1:
+            terms = count_items([split_item(k, t, p.n) for k, t in shard], p).terms
+            mine = rows.sparkSession.createDataFrame([(t,) for t in terms.view(np.int64).tolist()], "term bigint")
+            df = {r.term: r.n for r in counted.join(mine, "term", "left_semi").collect()}
+            stats = Stats(every.n, every.words / max(every.n, 1), terms, np.array([df[t] for t in terms.view(np.int64).tolist()], np.int64))
+        yield shard, stats
+
+
+def _finder(docs: DataFrame, shard: list[tuple[int, str]], stats: Stats | None, p: DecontaminationParams) -> Callable[[pa.Array], list[tuple[int, int, float, float]]]:
+    shared = docs.sparkSession.sparkContext.broadcast((shard, stats))
     held: list = []
 
     def find(arr: pa.Array) -> list[tuple[int, int, float, float]]:
         if not held:
-            items = [split_item(i, t, p.n) for i, t in shared.value]
-            held.extend((items, build_index(items, p)))
+            items = [split_item(i, t, p.n) for i, t in shared.value[0]]
+            held.extend((items, build_index(items, p, shared.value[1])))
         return [(r, held[0][i].item_id, q, a) for r, i, q, a in leaks(arr, *held, p)]
 
     return find
@@ -192,8 +235,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: DecontaminationP
     schema = "doc_id bigint, item_id bigint, question_overlap double, answer_overlap double"
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = docs.sparkSession.createDataFrame([], schema)
-    for shard in _shards(benchmark, params):
-        find = _finder(docs, shard, params)
+    for shard, stats in _shards(benchmark, params):
+        find = _finder(docs, shard, stats, params)
 
         def run(batches: Iterator[pa.RecordBatch], find=find) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -207,8 +250,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: DecontaminationP
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    for shard in _shards(benchmark, params):
-        find = _finder(docs, shard, params)
+    for shard, stats in _shards(benchmark, params):
+        find = _finder(docs, shard, stats, params)
 
         def run(batches: Iterator[pa.RecordBatch], find=find) -> Iterator[pa.RecordBatch]:
             for batch in batches:
