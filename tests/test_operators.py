@@ -163,3 +163,41 @@ def test_plans_prune_and_push_down(spark):
     assert "n_comment" not in plan and "n_regionkey" in plan
     plan = catalog.QUERIES["filtered_topk"](spark, path)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "EqualTo(lang,en)" in plan and "WindowGroupLimit" in plan
+
+
+def test_kmeans(spark):
+    from tritsift.operators import structure as R
+
+    rows = {i: {8 * (i % 3) + j: 1 for j in range(8) if (i + j) % 4} for i in range(30)}
+    got = R.kmeans(vec(spark, rows), "vec_id", 3, 4, 8).collect()
+    assert sum(r["size"] for r in got) == 30
+
+    # The same rounds by hand.
+    import hashlib
+
+    order = sorted(rows, key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:3]
+    hashes = {r.vec_id: r.o for r in spark.createDataFrame([(i, hashlib.md5(str(i).encode()).hexdigest()) for i in order], "vec_id bigint, h string").select("vec_id", F.xxhash64("h").alias("o")).collect()}
+    centers = {n: rows[i] for n, i in enumerate(sorted(order, key=lambda i: hashes[i]))}
+    for _ in range(4):
+        home = {}
+        for i, v in rows.items():
+            best = [(round(sum(v[p] * c[p] for p in v if p in c) / math.sqrt(len(c)), 9), -n) for n, c in centers.items() if set(v) & set(c)]
+            home[i] = -max(best)[1] if best else 0
+        centers = {}
+        for n in set(home.values()):
+            w = {}
+            for i, v in rows.items():
+                if home[i] == n:
+                    for p, s in v.items():
+                        w[p] = w.get(p, 0) + s
+            top = sorted((p for p in w if w[p]), key=lambda p: (-abs(w[p]), p))[:8]
+            centers[n] = {p: 1 if w[p] > 0 else -1 for p in top}
+    assert {(r.cluster, r["size"], r.first, r.last) for r in got} == {(n, len(m), min(m), max(m)) for n in set(home.values()) for m in [[i for i in home if home[i] == n]]}
+
+
+def test_labels_and_tags(spark):
+    from tritsift.operators import structure as R
+
+    assert one(spark, lambda c: R.repair_label(c, F.lit("title")), "Q42") == "q42" and one(spark, lambda c: R.repair_label(c, F.lit("title")), "q42") == "title"
+    assert one(spark, lambda c: R.repair_label(c, F.lit("title")), " Big Cats ") == "big_cat"
+    assert one(spark, lambda c: R.any_tag(c, ("a", "z")), "xyz") is True

@@ -511,3 +511,6 @@ def compaction_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.append(rows.where("l_orderkey % 10 = 9"))
     store.compact()
     return store.read().groupBy((F.col("l_orderkey") % 10).alias("segment")).agg(F.count("*").alias("n"), F.sum("l_partkey").alias("check_sum"))
+
+
+from tritsift.plans import more  # noqa: E402, F401  registers its queries with this module's
