@@ -3,7 +3,7 @@
 Each line of a document is a paragraph. Softmax regression over hashed word 1-
 to ``max_n``-grams tells licence families and an unknown class apart. It is
 trained on the templates below, varied by lost and added words, and for the
-unknown class on near misses and on at most ``max_unknown`` lines of the corpus
+unknown class on near misses and on at most ``max_unknown`` distinct lines of the corpus
 that resemble no template; a held-out part sets the temperature that calibrates
 the probabilities. A paragraph is reported for a family whose probability is
 ``threshold`` or more, if the family's nearest template confirms it: the share
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tritsift.llm import packed
+from tritsift.llm import packed, store
 from tritsift.llm import text as tx
 
 _U = np.uint64
@@ -64,7 +64,7 @@ NEAR_MISSES = (
 class LicenseParams:
     bits: int = 16
     max_n: int = 2
-    #: Lines of the corpus, the first in the order of a hash, that train the unknown class.
+    #: Distinct lines of the corpus, the first in the order of a hash, that train the unknown class.
     max_unknown: int = 2000
     copies: int = 24
     epochs: int = 80
@@ -193,7 +193,7 @@ def train(docs: DataFrame, params: LicenseParams = LicenseParams()) -> LicenseMo
     """Fit on the templates and a bounded sample of the corpus's lines."""
     p = params
     line = docs.select(F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line")).where(F.length(F.trim("line")) > 20)
-    sample = [r.line for r in line.withColumn("o", F.xxhash64("line")).orderBy("o", "line").limit(p.max_unknown).collect()]
+    sample = [r.line for r in store.first_by_hash(line, ["line"], p.max_unknown).collect()]
     words = [w for s in (*NEAR_MISSES, *sample[:200]) for w in s.split()[:40]]
     data = variants(np.random.default_rng(p.seed), words, p)
     all_pairs = [word_pairs(tx.words(pa.array([t]))[0]) for forms in TEMPLATES.values() for t in forms]
