@@ -3,8 +3,8 @@
 Trained by follow-the-regularised-leader (FTRL-proximal, one pass a row and
 epoch) on a bounded sample of labelled documents, ``max_train_rows``; every
 document is scored, as a sparse dot product. Features are the counts of word
-1- to ``max_n``-grams, case kept and punctuation runs as words, divided by the
-root of their number.
+1- to ``max_n``-grams, case kept and punctuation runs as words, and of words
+that repeat the last or the one before, divided by the root of their number.
 
 Null or empty text has no features and the model's bias as its score. Labels
 that are null, or whose document is missing or has a null id, aren't used; of
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tritsift.llm import store
 from tritsift.llm import text as tx
 
 
@@ -58,6 +59,11 @@ def features(arr: pa.Array, p: QualityParams) -> tuple[np.ndarray, np.ndarray]:
         g, at = tx.ngrams(h, row, n)
         parts.append((tx.mix(g + np.uint64(n)) >> shift).astype(np.int32))
         rows.append(np.repeat(np.arange(len(at) - 1), np.diff(at)))
+    word_row = np.repeat(np.arange(len(row) - 1), np.diff(row))
+    for back in (1, 2):  # n-grams that are a word and itself, one or two words on, are one feature whatever the word
+        again = word_row[back:][(h[back:] == h[:-back]) & (word_row[back:] == word_row[:-back])]
+        parts.append(np.full(len(again), int(tx.mix(np.array([back], np.uint64))[0] >> shift), np.int32))
+        rows.append(again)
     idx, owner = np.concatenate(parts), np.concatenate(rows)
     return idx, owner
 
@@ -110,7 +116,7 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], p: QualityParams) -> tu
 def train(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams(), label: str = "quality") -> QualityModel:
     """Fit on at most ``max_train_rows`` labelled documents; the driver holds only their hashed features."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.max_train_rows)
+    known = store.first_by_hash(known, ["doc_id", "y"], params.max_train_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most max_train_rows rows
     made = rows.select("doc_id", "y", "text").mapInArrow(_featurize(params), "doc_id bigint, y int, i binary, v binary").toArrow()
     got = sorted(zip(made["doc_id"].to_pylist(), made["y"].to_pylist(), made["i"].to_pylist(), made["v"].to_pylist()), key=lambda r: (hash_order(r[0]), r[2], r[3]))
