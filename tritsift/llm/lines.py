@@ -16,7 +16,7 @@ Every bound is exact: no pair is lost.
 Null text has no lines. Rows with a null doc_id take no part and are left as
 they are. Rows that repeat a (doc_id, text) are the same lines; of rows that
 share a doc_id with different texts, the one that sorts later by text gives
-way. A text without new lines is one line, however long. ``dedup_lines`` drops
+way; each keeps its own lines. A text without new lines is one line, however long. ``dedup_lines`` drops
 a document that had lines and loses all but blank ones; texts that had none
 stay. Other columns pass through, whatever their names; a column n_chars is
 set to the new text's length.
@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tritsift.llm import packed, store
@@ -167,21 +167,21 @@ def _whole(batch: pa.RecordBatch) -> packed.Arrays:
     ln = find_lines(batch.column("text"))
     acc, down = tx.prefix(tx._VALUE[ln.data])
     h = tx.spans(acc, down, ln.start, ln.end)
-    return {"key": h, "doc": batch.column("doc_id").to_numpy()[ln.row], "number": ln.number}
+    return {"key": h, "doc": batch.column("doc_id").to_numpy()[ln.row], "nth": batch.column("nth").to_numpy()[ln.row], "number": ln.number}
 
 
 def _firsts(a: packed.Arrays) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((a["number"], a["doc"], a["key"]))
-    h, doc, number = a["key"][order], a["doc"][order], a["number"][order]
+    order = np.lexsort((a["number"], a["nth"], a["doc"], a["key"]))
+    h, doc, nth, number = a["key"][order], a["doc"][order], a["nth"][order], a["number"][order]
     same = np.zeros(len(h), bool)
-    same[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1]) & (number[1:] == number[:-1])
-    h, doc, number = h[~same], doc[~same], number[~same]
+    same[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1]) & (nth[1:] == nth[:-1]) & (number[1:] == number[:-1])
+    h, doc, nth, number = h[~same], doc[~same], nth[~same], number[~same]
     start, length = packed.runs(h)
     first = np.repeat(start, length)
-    yield pa.record_batch({"h": pa.array(h.view(np.int64)), "doc_id": pa.array(doc), "line_no": pa.array(number), "first_doc_id": pa.array(doc[first]), "first_line_no": pa.array(number[first])})
+    yield pa.record_batch({"h": pa.array(h.view(np.int64)), "doc_id": pa.array(doc), "nth": pa.array(nth), "line_no": pa.array(number), "first_doc_id": pa.array(doc[first]), "first_nth": pa.array(nth[first]), "first_line_no": pa.array(number[first])})
 
 
-_FIRST = "h bigint, doc_id bigint, line_no int, first_doc_id bigint, first_line_no int"
+_FIRST = "h bigint, doc_id bigint, nth int, line_no int, first_doc_id bigint, first_nth int, first_line_no int"
 
 
 def edit_distance(x: list[bytes], y: list[bytes], k: int) -> np.ndarray:
@@ -238,7 +238,7 @@ def _measure(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d = edit_distance(batch.column("tu").to_pylist(), batch.column("tv").to_pylist(), k)
-            got = pa.record_batch({n: batch.column(n) for n in ("u", "v", "du", "nu", "dv", "nv")} | {"edits": pa.array(d.astype(np.int32))})
+            got = pa.record_batch({n: batch.column(n) for n in ("u", "v", "du", "xu", "nu", "dv", "xv", "nv")} | {"edits": pa.array(d.astype(np.int32))})
             yield got.filter(pa.array(d <= k))
 
     return run
@@ -256,35 +256,61 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _docs(docs: DataFrame) -> DataFrame:
-    """Distinct rows matter only where ids repeat; texts that share an id are numbered on by their order."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    """(doc_id, nth, text): texts that share an id are numbered on by their order."""
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    return _number(d, _numbers(d))
 
 
-def dropped_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
-    """(doc_id, line_no, first_doc_id, first_line_no, edits) of the lines to drop, and the earliest line that each repeats: an equal one (edits 0), else the earliest within ``edits``. Lines are numbered from 0."""
-    docs = _docs(docs)
-    occ = store.cut(packed.exchange(docs, _whole, {"key": "<u8", "doc": "<i8", "number": "<i4"}, _firsts, _FIRST))
+def _numbers(d: DataFrame) -> DataFrame | None:
+    """(__id, __hash, __nth) of the texts that share an id with other ones; None if there are none."""
+    hashed = d.select("doc_id", F.xxhash64("text").alias("hash"))
+    many = store.cut(hashed.groupBy("doc_id").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a <> b").select("doc_id"))
+    if many.isEmpty():
+        return None
+    texts = store.restrict(d, many, "doc_id").distinct()
+    by = Window.partitionBy("doc_id").orderBy("text")
+    return store.cut(texts.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash"), (F.row_number().over(by) - 1).alias("__nth")))
+
+
+def _number(d: DataFrame, numbers: DataFrame | None, name: str = "nth") -> DataFrame:
+    """d with the number of each row's text among those of its id."""
+    if numbers is None:
+        return d.withColumn(name, F.lit(0))
+    on = (F.col("doc_id").cast("bigint") == F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash"))
+    return d.join(numbers, on, "left").withColumn(name, F.coalesce("__nth", F.lit(0))).drop("__id", "__hash", "__nth")
+
+
+def _dropped(docs: DataFrame, params: LineParams) -> DataFrame:
+    """dropped_lines with the number of each line's text among those of its id, nth."""
+    occ = store.cut(packed.exchange(docs, _whole, {"key": "<u8", "doc": "<i8", "nth": "<i4", "number": "<i4"}, _firsts, _FIRST))
     met = packed.exchange(docs.select("text"), _segments(params), {"low": "<u4", "line": "<u8", "sketch": "<u8"}, _meet(params.edits), "u bigint, v bigint")
     met = store.cut(met.distinct())
     hs = store.cut(met.select(F.explode(F.array("u", "v")).alias("h")).distinct())
-    first = occ.where("doc_id = first_doc_id and line_no = first_line_no").select("h", "doc_id", "line_no")
-    want = store.restrict(first, hs, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "line_no")).alias("want"))
+    first = occ.where("doc_id = first_doc_id and nth = first_nth and line_no = first_line_no").select("h", "doc_id", "nth", "line_no")
+    want = store.restrict(first, hs, "h").groupBy("doc_id", "nth").agg(F.collect_list(F.struct("h", "line_no")).alias("want"))
     want = store.cut(want)
     small = want.count() <= store.BROADCAST_IDS // 16
-    lines = docs.join(F.broadcast(want) if small else want.hint("shuffle_hash"), "doc_id").select("text", "want").mapInArrow(_pick, "h bigint, t binary")
+    lines = docs.join(F.broadcast(want) if small else want.hint("shuffle_hash"), ["doc_id", "nth"]).select("text", "want").mapInArrow(_pick, "h bigint, t binary")
     lines = store.cut(lines.groupBy("h").agg(F.first("t").alias("t")).join(store.restrict(first, hs, "h"), "h"))
-    side = lambda x: lines.select(F.col("h").alias(x), F.col("t").alias(f"t{x}"), F.col("doc_id").alias(f"d{x}"), F.col("line_no").alias(f"n{x}"))
-    pairs = met.join(side("u"), "u").join(side("v"), "v").mapInArrow(_measure(params.edits), "u bigint, v bigint, du bigint, nu int, dv bigint, nv int, edits int")
-    ordered = pairs.select(F.expr("explode(array(struct(u h, du doc_id, nu line_no, dv first_doc_id, nv first_line_no, edits), struct(v h, dv doc_id, nv line_no, du first_doc_id, nu first_line_no, edits)))").alias("e")).select("e.*")
-    near = ordered.where("struct(first_doc_id, first_line_no) < struct(doc_id, line_no)").groupBy("h", "doc_id", "line_no").agg(F.min(F.struct("first_doc_id", "first_line_no", "edits")).alias("m"))
-    exact = occ.where("doc_id <> first_doc_id or line_no <> first_line_no").select("doc_id", "line_no", "first_doc_id", "first_line_no", F.lit(0).alias("edits"))
-    return exact.union(near.select("doc_id", "line_no", "m.first_doc_id", "m.first_line_no", "m.edits"))
+    side = lambda x: lines.select(F.col("h").alias(x), F.col("t").alias(f"t{x}"), F.col("doc_id").alias(f"d{x}"), F.col("nth").alias(f"x{x}"), F.col("line_no").alias(f"n{x}"))
+    pairs = met.join(side("u"), "u").join(side("v"), "v").mapInArrow(_measure(params.edits), "u bigint, v bigint, du bigint, xu int, nu int, dv bigint, xv int, nv int, edits int")
+    ordered = pairs.select(F.expr("explode(array(struct(u h, du doc_id, xu nth, nu line_no, dv first_doc_id, xv first_nth, nv first_line_no, edits), struct(v h, dv doc_id, xv nth, nv line_no, du first_doc_id, xu first_nth, nu first_line_no, edits)))").alias("e")).select("e.*")
+    near = ordered.where("struct(first_doc_id, first_nth, first_line_no) < struct(doc_id, nth, line_no)").groupBy("h", "doc_id", "nth", "line_no").agg(F.min(F.struct("first_doc_id", "first_nth", "first_line_no", "edits")).alias("m"))
+    exact = occ.where("doc_id <> first_doc_id or nth <> first_nth or line_no <> first_line_no").select("doc_id", "nth", "line_no", "first_doc_id", "first_line_no", F.lit(0).alias("edits"))
+    return exact.union(near.select("doc_id", "nth", "line_no", "m.first_doc_id", "m.first_line_no", "m.edits"))
+
+
+def dropped_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
+    """(doc_id, line_no, first_doc_id, first_line_no, edits) of the lines to drop, and the earliest line that each repeats: an equal one (edits 0), else the earliest within ``edits``. Lines are numbered from 0."""
+    return _dropped(_docs(docs), params).drop("nth")
 
 
 def dedup_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     """The documents without the dropped lines, in their columns."""
-    gone = dropped_lines(docs, params).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line_no").alias("__gone"))
-    joined = docs.join(gone, F.col("doc_id") == F.col("__doc"), "left")
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    numbers = _numbers(d)
+    gone = _dropped(_number(d, numbers), params).groupBy(F.col("doc_id").alias("__doc"), F.col("nth").alias("__of")).agg(F.collect_set("line_no").alias("__gone"))
+    joined = _number(docs, numbers, "__n").join(gone, (F.col("doc_id") == F.col("__doc")) & (F.col("__n") == F.col("__of")), "left")
     parts = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("__gone", i.cast("int"))), "\n")
     hit = F.col("__gone").isNotNull() & F.col("text").isNotNull()
