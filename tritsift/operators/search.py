@@ -14,6 +14,36 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, query: str = "qid", key:
     return V.top_k(V.similarities(queries, vectors, query, key), query, "dot", key, k)
 
 
+def keyed(triples: DataFrame, per_shard: int = 64) -> DataFrame:
+    """(relation, subject, n, object, shard): every distinct key of the triples with its count, its least object, and the entity bucket that the subject's content hash gives. There are as many buckets as put about ``per_shard`` keys in each."""
+    keys = triples.groupBy("relation", "subject").agg(F.count("*").alias("n"), F.min("object").alias("object"))
+    many = keys.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / per_shard)).alias("many"))  # one row
+    h = F.conv(F.substring(F.md5(F.col("subject").cast("binary")), 1, 15), 16, 10).cast("bigint")
+    return keys.crossJoin(F.broadcast(many)).withColumn("shard", F.pmod(h, F.col("many"))).drop("many")
+
+
+def lookup(index: DataFrame, dim: int, k: int) -> DataFrame:
+    """(relation, subject, found, dot): for every key of index (relation, subject, shard, asked) that is asked, the subject of its shard and relation whose key vector is nearest, the first by name of equal ones.
+
+    A key's vector is the superposition of its subject's and its relation's tokens. Within a relation it differs
+    from the relation's own signs r at the subject's positions only, by d say, so that the product of two keys is
+    |r|^2 + r.d + r.d' + d.d' and only d.d' needs a join of postings: those of subjects, within a shard. A key
+    meets itself there but where its subject's positions all agree with the relation's, which takes k coincidences.
+    """
+    rel = V.draws(index.select("relation").distinct().withColumn("t", F.col("relation")), "t", dim, k).groupBy("relation", "idx").agg(F.sum("sgn").alias("rw")).where("rw <> 0")
+    norm = rel.groupBy("relation").agg(F.count("*").alias("norm"))
+    own = V.draws(index.select("relation", "shard", "subject", "asked", F.col("subject").alias("t")), "t", dim, k).groupBy("relation", "shard", "subject", "asked", "idx").agg(F.sum("sgn").alias("w"))
+    r = F.coalesce(F.signum("rw"), F.lit(0.0)).cast("int")
+    at = own.join(rel, ["relation", "idx"], "left").withColumn("r", r).withColumn("d", F.signum(F.col("w") + F.coalesce("rw", F.lit(0))).cast("int") - F.col("r"))
+    by = Window.partitionBy("relation", "shard", "subject")
+    d = at.withColumn("c", F.sum(F.col("r") * F.col("d")).over(by)).where("d <> 0").select("relation", "shard", "subject", "asked", "idx", "d", "c")
+    other = d.select("relation", "shard", "idx", F.col("subject").alias("found"), F.col("d").alias("d2"), F.col("c").alias("c2"))
+    met = d.where("asked").join(other, ["relation", "shard", "idx"]).groupBy("relation", "subject", "found").agg(F.sum(F.col("d") * F.col("d2")).alias("dd"), F.first("c").alias("c"), F.first("c2").alias("c2"))
+    dots = met.join(norm, "relation").select("relation", "subject", "found", (F.col("norm") + F.col("c") + F.col("c2") + F.col("dd")).alias("dot"))
+    best = Window.partitionBy("relation", "subject").orderBy(F.desc("dot"), "found")
+    return dots.withColumn("__r", F.row_number().over(best)).where(F.col("__r") == 1).drop("__r")
+
+
 def salient(tokens: DataFrame, key: str, budget: int) -> DataFrame:
     """(key, token, pos, df): of (key, token, pos), tokens distinct in each key, the rarest in the corpus; of equal ones the first."""
     df = tokens.groupBy("token").agg(F.count("*").alias("df"))
@@ -45,7 +75,7 @@ def knn_lsh(queries: DataFrame, vectors: DataFrame, k: int, query: str = "qid",
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, key: str, centroid: str = "cluster") -> DataFrame:
     """(key, cluster): the centroid of the largest cosine, the lowest of equal ones; cluster 0 for a vector that meets none."""
     size = V.sizes(centroids, centroid)
-    near = V.similarities(vectors, centroids, key, centroid).join(size, centroid).withColumn("c", F.round(F.col("dot") / F.sqrt("nnz"), 9))
+    near = V.similarities(centroids, vectors, centroid, key).join(size, centroid).withColumn("c", F.round(F.col("dot") / F.sqrt("nnz"), 9))
     best = near.groupBy(key).agg(F.max_by(centroid, F.struct("c", -F.col(centroid))).alias(centroid))
     return vectors.select(key).distinct().join(best, key, "left").select(key, F.coalesce(centroid, F.lit(0)).alias(centroid))
 
@@ -55,11 +85,11 @@ def route(subject: Column, cluster: Column, buckets: int, clusters: int) -> Colu
     return T.bucket(subject, buckets) * clusters + cluster
 
 
-def two_hop(triples: DataFrame, first: str, second: str) -> DataFrame:
-    """(subject, middle, object): the objects reached over two relations."""
-    a = triples.where(F.col("relation") == first).select("subject", F.col("object").alias("middle"))
-    b = triples.where(F.col("relation") == second).select(F.col("subject").alias("middle"), "object")
-    return a.join(b, "middle").select("subject", "middle", "object").distinct()
+def two_hop(triples: DataFrame) -> DataFrame:
+    """(subject, first, middle, second, object): the objects reached over any two relations."""
+    a = triples.select("subject", F.col("relation").alias("first"), F.col("object").alias("middle")).distinct()
+    b = triples.select(F.col("subject").alias("middle"), F.col("relation").alias("second"), "object").distinct()
+    return a.join(b, "middle").select("subject", "first", "middle", "second", "object")
 
 
 def recency(score: Column, ts: Column, now: Column, half_life_hours: float = 168.0) -> Column:
@@ -69,6 +99,17 @@ def recency(score: Column, ts: Column, now: Column, half_life_hours: float = 168
     return score * F.pow(F.lit(0.5), age / max(half_life_hours, 1e-3))
 
 
+def ensemble(tokens: DataFrame, key: str, seeds: tuple[str, ...], dim: int, k: int) -> DataFrame:
+    """(seed, key, idx, sgn): (key, token) encoded under each of two or more distinct seeds, which the position in ``seeds`` numbers."""
+    if len(seeds) < 2 or len(set(seeds)) < len(seeds):
+        raise ValueError("two or more distinct seeds are needed")
+    names = F.array(*map(F.lit, seeds))
+    each = tokens.select(key, "token").repartition(key).select(key, "token", F.posexplode(names).alias("seed", "name"))
+    drawn = V.draws(each, "token", dim, k, F.col("name")).groupBy(key, "seed", "idx").agg(F.sum("sgn").alias("w")).where("w <> 0")
+    by = Window.partitionBy(key, "seed").orderBy(F.abs("w").desc(), "idx")
+    return drawn.withColumn("__r", F.row_number().over(by)).where(F.col("__r") <= k).select("seed", key, "idx", F.signum("w").cast("int").alias("sgn"))
+
+
 def fuse_merge(hits: DataFrame, k: int) -> DataFrame:
     """(qid, vec_id, score, rank): each vector's best score over the seeds."""
     return V.top_k(hits.groupBy("qid", "vec_id").agg(F.max("score").alias("score")), "qid", "score", "vec_id", k)

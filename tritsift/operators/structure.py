@@ -20,15 +20,13 @@ def structural(tokens: DataFrame, key: str, dim: int, k: int, slots: int, keep:
     return V.superpose(slot.union(bigram), key, keep)
 
 
-def sweep(atoms: DataFrame, geometries: list[tuple[int, int]]) -> DataFrame:
-    """(dim, k, relation, hit_at_1) of (relation, key, token): how often a key finds itself first among its relation's, at each geometry. All keys are queries."""
+def sweep(keys: DataFrame, geometries: list[tuple[int, int]]) -> DataFrame:
+    """(dim, k, relation, hit_at_1) of keys as ``search.keyed`` gives them: how often a unique key finds itself first in its shard, at each geometry."""
+    index = keys.select("relation", "subject", "shard", (F.col("n") == 1).alias("asked"))
     out = None
     for dim, k in geometries:
-        vec = V.draws(atoms, "token", dim, k).groupBy("relation", "key", "idx").agg(F.sum("sgn").alias("w")).where("w <> 0").select("relation", "key", "idx", F.signum("w").cast("int").alias("sgn"))
-        other = vec.select("relation", F.col("key").alias("vec"), "idx", F.col("sgn").alias("s2"))
-        dots = vec.join(other, ["relation", "idx"]).groupBy("relation", "key", "vec").agg(F.sum(F.col("sgn") * F.col("s2")).alias("dot"))
-        best = V.top_k(dots, "key", "dot", "vec", 1)
-        row = best.groupBy("relation").agg(F.round(F.avg((F.col("key") == F.col("vec")).cast("int")), 6).alias("hit_at_1")).select(F.lit(dim).alias("dim"), F.lit(k).alias("k"), "relation", "hit_at_1")
+        best = S.lookup(index, dim, k)
+        row = best.groupBy("relation").agg(F.round(F.avg((F.col("subject") == F.col("found")).cast("int")), 6).alias("hit_at_1")).select(F.lit(dim).alias("dim"), F.lit(k).alias("k"), "relation", "hit_at_1")
         out = row if out is None else out.union(row)
     return out
 

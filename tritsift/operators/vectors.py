@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def draws(df: DataFrame, token: str | Column, dim: int, k: int, seed: str = "s0") -> DataFrame:
-    """k signed positions of each row's token, four from each md5 digest; positions may repeat, and superposing sums them."""
+#: Rows of the smaller side of a similarity join that are broadcast at a time; a larger side is taken in blocks.
+BLOCK_ROWS = 1_000_000
+
+
+def draws(df: DataFrame, token: str | Column, dim: int, k: int, seed: str | Column = "s0") -> DataFrame:
+    """k signed positions of each row's token, four from each md5 digest; positions may repeat, and superposing sums them. The seed may be a column."""
     t = F.col(token) if isinstance(token, str) else token
-    digests = F.transform(F.sequence(F.lit(0), F.lit(k // 4 - 1)), lambda j: F.md5(F.concat_ws("|", F.lit(seed), t, j.cast("string")).cast("binary")))
+    s = F.lit(seed) if isinstance(seed, str) else seed
+    digests = F.transform(F.sequence(F.lit(0), F.lit(k // 4 - 1)), lambda j: F.md5(F.concat_ws("|", s, t, j.cast("string")).cast("binary")))
     groups = F.flatten(F.transform(digests, lambda m: F.array(*(F.conv(F.substring(m, 8 * g + 1, 8), 16, 10).cast("bigint") for g in range(4)))))
     out = df.withColumn("__v", F.explode(groups))
     return out.withColumn("idx", F.pmod(F.shiftright("__v", 1), F.lit(dim)).cast("int")).withColumn("sgn", F.when(F.col("__v") % 2 == 1, 1).otherwise(-1)).drop("__v")
@@ -43,9 +48,30 @@ def negate(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("sgn", -F.col("sgn"))
 
 
-def similarities(a: DataFrame, b: DataFrame, a_key: str, b_key: str) -> DataFrame:
-    """(a_key, b_key, dot) of the vectors that share a position: a join of posting lists and a sum."""
-    return a.alias("a").join(b.alias("b"), F.col("a.idx") == F.col("b.idx")).groupBy(F.col(f"a.{a_key}").alias(a_key), F.col(f"b.{b_key}").alias(b_key)).agg(F.sum(F.col("a.sgn") * F.col("b.sgn")).alias("dot"))
+def codebook(tokens: DataFrame, token: str, dim: int, k: int, seed: str = "s0") -> DataFrame:
+    """(token, idx, sgn): the vector of each distinct token, drawn once however often the token stands."""
+    return superpose(draws(tokens.select(F.col(token).alias("token")).distinct().withColumn("t", F.col("token")), "t", dim, k, seed).select("token", "idx", "sgn"), "token")
+
+
+def blocks(a: DataFrame, key: str) -> list[DataFrame]:
+    """The vectors of ``a`` in parts of about BLOCK_ROWS rows, counted, each of which may be broadcast; a vector's rows stay together."""
+    n = -(-a.count() // BLOCK_ROWS)
+    return [a] if n <= 1 else [a.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
+
+
+def similarities(a: DataFrame, b: DataFrame, a_key: str, b_key: str, on: tuple[str, ...] = ("idx",)) -> DataFrame:
+    """(a_key, b_key, dot) of the vectors that share a position, and the other columns of ``on``.
+
+    ``a`` is the side to broadcast, in blocks of a counted size: b's postings aren't moved by position,
+    of which there are no more than dimensions, and sum up where b's vectors stand if they stand together.
+    """
+    out = None
+    rest = [c for c in on if c != "idx"]
+    for part in blocks(a, a_key):
+        small = part.select(*on, a_key, F.col("sgn").alias("__a"))
+        met = b.join(F.broadcast(small), list(on)).groupBy(*rest, a_key, b_key).agg(F.sum(F.col("sgn") * F.col("__a")).alias("dot"))
+        out = met if out is None else out.union(met)
+    return out.select(*rest, a_key, b_key, "dot")
 
 
 def sizes(vectors: DataFrame, key: str) -> DataFrame:

@@ -57,22 +57,23 @@ HITS = top_sql(dots_sql("q", "d", "qid", "doc_id"), "qid", "dot", "doc_id", TOP)
 # --- triples ---------------------------------------------------------------
 
 
-@query(f"""WITH t AS {TRIPLES}, keys AS (SELECT subject, relation FROM t WHERE relation <> 'placed_order' GROUP BY ALL HAVING count(*) = 1),
-a AS (SELECT subject, relation, unnest([subject, relation]) AS token FROM keys), kv AS MATERIALIZED {superpose_sql(draws_sql("(SELECT subject || '|' || relation AS key, token FROM a)", "key", 512, 16), "key", None)},
-h AS {top_sql("(SELECT key, vec, dot FROM (SELECT a.key, b.key AS vec, sum(a.sgn * b.sgn)::BIGINT AS dot FROM kv a JOIN kv b ON a.idx = b.idx GROUP BY ALL) WHERE split_part(key, '|', 2) = split_part(vec, '|', 2))", "key", "dot", "vec", 1)}
-SELECT split_part(key, '|', 1) AS subject, split_part(key, '|', 2) AS relation, t.object, dot FROM h JOIN t ON t.subject || '|' || t.relation = h.vec""")
+#: Distinct keys in their shards, as search.keyed gives them.
+KEYED = f"(SELECT *, ('0x' || substring(md5(subject), 1, 15))::BIGINT % (greatest(1, ceil(count(*) OVER () / 64)))::BIGINT AS shard FROM (SELECT relation, subject, count(*) AS n, min(object) AS object FROM {TRIPLES} GROUP BY ALL))"
+
+
+def _lookup_sql(dim: int, k: int) -> str:
+    """Products of whole key vectors, position by position."""
+    kv = superpose_sql(draws_sql("(SELECT id, unnest([subject, relation]) AS token FROM kd)", "id", dim, k), "id", None)
+    return f"(SELECT id, vec, dot FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dot DESC, name) AS r FROM (SELECT x.id, y.id AS vec, y.subject AS name, sum(a.sgn * b.sgn)::BIGINT AS dot FROM kd x JOIN kd y ON x.relation = y.relation AND x.shard = y.shard JOIN {kv} a ON a.id = x.id JOIN {kv} b ON b.id = y.id AND b.idx = a.idx WHERE x.n = 1 GROUP BY ALL)) WHERE r = 1)"
+
+
+@query(f"WITH kd AS MATERIALIZED (SELECT *, relation || '|' || subject AS id FROM {KEYED}), h AS {_lookup_sql(512, 16)} SELECT x.subject, x.relation, y.object, dot FROM h JOIN kd x USING (id) JOIN kd y ON y.id = h.vec")
 def triple_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every unique (subject, relation) is asked for its object: encoded as the index encodes it, searched within its relation's shard, enriched after the cut."""
-    t = triples(spark, sf_dir)
-    keys = t.where("relation <> 'placed_order'").groupBy("subject", "relation").agg(F.count("*").alias("n")).where("n = 1")
-    atoms = keys.select("relation", F.concat_ws("|", "subject", "relation").alias("key"), F.explode(F.array("subject", "relation")).alias("token"))
-    # Subject and relation stand in different shards, so postings meet on (relation, idx).
-    vec = V.draws(atoms, "token", 512, 16).groupBy("relation", "key", "idx").agg(F.sum("sgn").alias("w")).where("w <> 0").select("relation", "key", "idx", F.signum("w").cast("int").alias("sgn"))
-    other = vec.select("relation", F.col("key").alias("vec"), "idx", F.col("sgn").alias("s2"))
-    dots = vec.join(other, ["relation", "idx"]).groupBy("key", "vec").agg(F.sum(F.col("sgn") * F.col("s2")).alias("dot"))
-    best = V.top_k(dots, "key", "dot", "vec", 1)
-    named = t.select(F.concat_ws("|", "subject", "relation").alias("vec"), "object")
-    return best.join(named, "vec").select(F.split_part("key", F.lit("|"), F.lit(1)).alias("subject"), F.split_part("key", F.lit("|"), F.lit(2)).alias("relation"), "object", "dot")
+    """Every unique (subject, relation) is asked for its object: encoded as the index of all keys encodes it, searched in the shard that its route gives, enriched after the cut."""
+    keys = S.keyed(triples(spark, sf_dir))
+    best = S.lookup(keys.select("relation", "subject", "shard", (F.col("n") == 1).alias("asked")), 512, 16)
+    payload = keys.select("relation", F.col("subject").alias("found"), "object")
+    return best.join(payload, ["relation", "found"]).select("subject", "relation", "object", "dot")
 
 
 @query(f"WITH t AS {TRIPLES} SELECT relation, count(*) AS triples, count(DISTINCT subject) AS subjects, round(avg(n), 6) AS avg_objects, max(n) AS max_objects FROM (SELECT subject, relation, count(*) OVER (PARTITION BY relation, subject) AS n FROM t) GROUP BY relation")
@@ -86,17 +87,22 @@ def key_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triples(spark, sf_dir).groupBy("subject", "relation").agg(F.count("*").alias("multiplicity")).groupBy("multiplicity").agg(F.count("*").alias("keys"))
 
 
-@query(f"WITH t AS {TRIPLES} SELECT DISTINCT a.subject, a.object AS middle, b.object FROM t a JOIN t b ON a.object = b.subject WHERE a.relation = 'from_nation' AND b.relation = 'in_region'")
+@query(f"WITH t AS {TRIPLES} SELECT DISTINCT a.subject, a.relation AS first, a.object AS middle, b.relation AS second, b.object FROM t a JOIN t b ON a.object = b.subject")
 def two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.two_hop(triples(spark, sf_dir), "from_nation", "in_region")
+    return S.two_hop(triples(spark, sf_dir))
+
+
+_NEXT = "(SELECT relation, subject, object, split_part(subject, '_', 1) AS kind, split_part(subject, '_', 2)::BIGINT AS no FROM (SELECT relation, subject, count(*) AS n, min(object) AS object FROM t GROUP BY ALL) WHERE n = 1)"
 
 
-@query(f"WITH t AS {TRIPLES} SELECT a.subject AS subject_a, b.subject AS subject_b, a.relation, a.object FROM t a JOIN t b ON a.relation = b.relation AND a.object = b.object AND a.subject < b.subject WHERE a.relation = 'in_region'")
+@query(f"WITH t AS {TRIPLES}, k AS {_NEXT} SELECT a.subject AS subject_a, b.subject AS subject_b, a.relation, a.object AS object_a, b.object AS object_b, a.object = b.object AS same FROM k a JOIN k b ON b.relation = a.relation AND b.kind = a.kind AND b.no = a.no + 1")
 def compare_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations that answer one lookup alike: two independent lookups joined on relation and answer."""
-    t = triples(spark, sf_dir).where("relation = 'in_region'")
-    a, b = t.withColumnRenamed("subject", "subject_a"), t.withColumnRenamed("subject", "subject_b")
-    return a.join(b, ["relation", "object"]).where("subject_a < subject_b").select("subject_a", "subject_b", "relation", "object")
+    """Each entity with a unique key and the next one of its kind, compared by two independent lookups of one relation; both must be found."""
+    keys = triples(spark, sf_dir).groupBy("relation", "subject").agg(F.count("*").alias("n"), F.min("object").alias("object")).where("n = 1")
+    at = keys.select("relation", "subject", "object", F.split_part("subject", F.lit("_"), F.lit(1)).alias("kind"), F.split_part("subject", F.lit("_"), F.lit(2)).cast("bigint").alias("no"))
+    a = at.select("relation", "kind", "no", F.col("subject").alias("subject_a"), F.col("object").alias("object_a"))
+    b = at.select("relation", "kind", (F.col("no") - 1).alias("no"), F.col("subject").alias("subject_b"), F.col("object").alias("object_b"))
+    return a.join(b, ["relation", "kind", "no"]).select("subject_a", "subject_b", "relation", "object_a", "object_b", (F.col("object_a") == F.col("object_b")).alias("same"))
 
 
 @query(f"WITH t AS {TRIPLES} SELECT object, relation, count(*) AS subjects, min(subject) AS first_subject FROM t GROUP BY object, relation")
@@ -298,9 +304,12 @@ def recency_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("qid", "doc_id", F.round(S.recency(F.col("dot"), F.col("ts"), F.lit("2024-12-31 00:00:00").cast("timestamp")), 9).alias("score"))
 
 
-def _seeded_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [V.similarities(item_vectors(spark, sf_dir, f"s{n}"), doc_vectors(spark, sf_dir, f"s{n}"), "qid", "doc_id").select(F.lit(n).alias("seed"), "qid", F.col("doc_id").alias("vec_id"), F.col("dot").alias("score")) for n in (0, 1)]
-    return V.top_k(parts[0].union(parts[1]).withColumn("sq", F.struct("seed", "qid")), "sq", "score", "vec_id", TOP).drop("sq", "rank")
+def _seeded_hits(spark: SparkSession, sf_dir: str, seeds: tuple[str, ...] = ("s0", "s1")) -> DataFrame:
+    """(seed, qid, vec_id, score): the hits of each seed's index, all seeds encoded in one pass over the source."""
+    q = S.ensemble(item_tokens(spark, sf_dir), "qid", seeds, DIM, K)
+    d = S.ensemble(S.salient(doc_tokens(spark, sf_dir), "doc_id", BUDGET), "doc_id", seeds, DIM, K)
+    dots = V.similarities(q, d, "qid", "doc_id", ("seed", "idx")).select("seed", "qid", F.col("doc_id").alias("vec_id"), F.col("dot").alias("score"))
+    return V.top_k(dots.withColumn("sq", F.struct("seed", "qid")), "sq", "score", "vec_id", TOP).drop("sq", "rank")
 
 
 _SEEDS = f"WITH d0 AS MATERIALIZED {_doc_sql('s0')}, q0 AS MATERIALIZED {_item_sql('s0')}, d1 AS MATERIALIZED {_doc_sql('s1')}, q1 AS MATERIALIZED {_item_sql('s1')}, h AS (SELECT seed, qid, doc_id AS vec_id, dot AS score FROM {top_sql('(SELECT 0 AS seed, * FROM ' + dots_sql('q0', 'd0', 'qid', 'doc_id') + ' UNION ALL SELECT 1, * FROM ' + dots_sql('q1', 'd1', 'qid', 'doc_id') + ')', 'seed, qid', 'dot', 'doc_id', TOP)})"

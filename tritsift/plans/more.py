@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tritsift.functions import text as T
+from tritsift.operators import search as S
 from tritsift.operators import structure as R
 from tritsift.operators import vectors as V
 from tritsift.plans import catalog as C
@@ -43,17 +44,13 @@ def composite_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sweep_sql(dim: int, k: int) -> str:
-    kv = superpose_sql(draws_sql("a", "key", dim, k), "key", None)
-    return f"SELECT {dim} AS dim, {k} AS k, relation, round(avg(CASE WHEN key = vec THEN 1.0 ELSE 0.0 END), 6) AS hit_at_1 FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY dot DESC, vec) AS r FROM (SELECT a.key, b.key AS vec, split_part(a.key, '|', 2) AS relation, sum(a.sgn * b.sgn) AS dot FROM {kv} a JOIN {kv} b ON a.idx = b.idx AND split_part(a.key, '|', 2) = split_part(b.key, '|', 2) GROUP BY ALL)) WHERE r = 1 GROUP BY relation"
+    return f"SELECT {dim} AS dim, {k} AS k, relation, round(avg(CASE WHEN id = vec THEN 1.0 ELSE 0.0 END), 6) AS hit_at_1 FROM {C._lookup_sql(dim, k)} JOIN kd USING (id) GROUP BY relation"
 
 
-@query(f"WITH t AS {TRIPLES}, a AS MATERIALIZED (SELECT subject || '|' || relation AS key, unnest([subject, relation]) AS token FROM (SELECT subject, relation FROM t WHERE relation IN ('in_region', 'has_brand') GROUP BY ALL HAVING count(*) = 1)) " + " UNION ALL ".join(_sweep_sql(d, k) for d, k in ((64, 8), (128, 8), (256, 16))))
+@query(f"WITH kd AS MATERIALIZED (SELECT *, relation || '|' || subject AS id FROM {C.KEYED}) " + " UNION ALL ".join(_sweep_sql(d, k) for d, k in ((64, 8), (128, 8), (256, 16))))
 def geometry_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Self-retrieval of unique keys at each geometry, by relation."""
-    t = triples(spark, sf_dir).where(F.col("relation").isin("in_region", "has_brand"))
-    keys = t.groupBy("subject", "relation").agg(F.count("*").alias("n")).where("n = 1")
-    atoms = keys.select("relation", F.concat_ws("|", "subject", "relation").alias("key"), F.explode(F.array("subject", "relation")).alias("token"))
-    return R.sweep(atoms, [(64, 8), (128, 8), (256, 16)])
+    """Self-retrieval of all unique keys in the index of all keys, at each geometry, by relation."""
+    return R.sweep(S.keyed(triples(spark, sf_dir)), [(64, 8), (128, 8), (256, 16)])
 
 
 @query(f"SELECT item_id, array_to_string(list_slice(ts, 1, ceil(len(ts) * 0.6)::INT), ' ') AS query_text FROM (SELECT item_id, {tokens_sql('text')} AS ts FROM benchmark)")
@@ -90,7 +87,7 @@ def query_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def centroid_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two shards whose centroids are nearest to each vector."""
     t, c = C._centroids(spark, sf_dir)
-    best = V.top_k(V.similarities(t, c, "vec_id", "label"), "vec_id", "dot", "label", 2)
+    best = V.top_k(V.similarities(c, t, "label", "vec_id"), "vec_id", "dot", "label", 2)
     return best.select("vec_id", F.col("label").alias("shard"), "dot")
 
 
