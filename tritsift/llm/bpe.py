@@ -213,14 +213,25 @@ class Encoder:
         self.tokens = tokens
         self.table = table or perfect_hash(tx.hash_words(tokens))
         self.rank: dict[bytes, int] = {}
-        self.cache: dict[int, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
         lengths = np.array([len(t) for t in tokens], np.int64)
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.begin, self.length = np.append(np.cumsum(lengths) - lengths, 0), np.append(lengths, 0)
+        self.chunks = tx.chunks(tx.padded(self.bytes), self.begin[:-1], self.begin[:-1] + lengths)
 
     def __reduce__(self):
         return Encoder, (self.tokens, self.table)
 
+    def _whole(self, spans: tx.Chunks) -> np.ndarray:
+        """Ids of the spans that are tokens, -1 for others. The hash finds the token, its bytes decide."""
+        ids = self.table.find(spans.hash())
+        ids[(ids >= 0) & (self.length[ids] != spans.size)] = -1
+        mine = ids[spans.owner]
+        known = np.flatnonzero(mine >= 0)
+        other = spans.value[known] != self.chunks.value[self.chunks.first[mine[known]] + spans.place[known]]
+        ids[spans.owner[known[other]]] = -1
+        return ids
+
     def encode(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's begin (one more at the end)."""
         data, offs = tx.buffers(arr)
@@ -228,22 +239,27 @@ class Encoder:
         end = np.append(start[1:], len(data))
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(offs), np.int64)
-        acc, down = tx.prefix(tx._VALUE[data])
-        h = tx.spans(acc, down, start, end)
-        ids = self.table.find(h)
+        spans = tx.chunks(tx.padded(data), start, end)
+        ids = self._whole(spans)
         miss = np.flatnonzero(ids < 0)
         count = np.ones(len(ids), np.int64)
         if len(miss):
             self.rank = self.rank or {t: i for i, t in enumerate(self.tokens)}
             if len(self.cache) > CACHE:
                 self.cache.clear()
-            new, at, back = np.unique(h[miss], return_index=True, return_inverse=True)
             raw, cache, parts = data.tobytes(), self.cache, []
-            for key, s, e in zip(new.tolist(), start[miss[at]].tolist(), end[miss[at]].tolist()):
-                got = cache.get(key)
-                if got is None:
-                    got = cache[key] = np.array(merge(raw[s:e], self.rank), "<i4").tobytes()
-                parts.append(got)
+            numbers: dict[bytes, int] = {}
+            back = np.empty(len(miss), np.int64)
+            for n, (s, e) in enumerate(zip(start[miss].tolist(), end[miss].tolist())):
+                word = raw[s:e]
+                k = numbers.get(word)
+                if k is None:
+                    k = numbers[word] = len(parts)
+                    got = cache.get(word)
+                    if got is None:
+                        got = cache[word] = np.array(merge(word, self.rank), "<i4").tobytes()
+                    parts.append(got)
+                back[n] = k
             size = np.array([len(x) >> 2 for x in parts], np.int64)
             flat = np.frombuffer(b"".join(parts), "<i4")
             count[miss] = size[back]

@@ -92,8 +92,8 @@ def _segments(p: LineParams):
 
     def make(batch: pa.RecordBatch) -> packed.Arrays:
         ln = find_lines(batch.column("text"))
-        acc, down = tx.prefix(tx._VALUE[ln.data])
-        h = tx.spans(acc, down, ln.start, ln.end)
+        data = tx.padded(ln.data)
+        h = tx.chunks(data, ln.start, ln.end).hash()
         _, one = np.unique(h, return_index=True)
         one = one[(ln.end - ln.start)[one] >= p.min_bytes]
         h, s, e = h[one], ln.start[one], ln.end[one]
@@ -109,7 +109,7 @@ def _segments(p: LineParams):
         all_lines = np.arange(len(h))
         for i in range(k + 1):
             at, size = _segment(length, i, k + 1)
-            keys.append(_key(tx.spans(acc, down, s + at, s + at + size), length, i))
+            keys.append(_key(tx.chunks(data, s + at, s + at + size).hash(), length, i))
             who.append(all_lines)
             kinds.append(np.zeros(len(h), np.uint8))
             for delta in range(k + 1):  # the indexed line is shorter by delta
@@ -118,7 +118,7 @@ def _segments(p: LineParams):
                 for shift in range(max(-i, delta - (k - i)), min(i, delta + (k - i)) + 1):
                     ok = np.flatnonzero((other >= p.min_bytes) & (at + shift >= 0) & (at + shift + size <= length))
                     b = (s + at + shift)[ok]
-                    keys.append(_key(tx.spans(acc, down, b, b + size[ok]), other[ok], i))
+                    keys.append(_key(tx.chunks(data, b, b + size[ok]).hash(), other[ok], i))
                     who.append(ok)
                     kinds.append(np.ones(len(ok), np.uint8))
         key, at, kind = np.concatenate(keys), np.concatenate(who), np.concatenate(kinds)
@@ -165,23 +165,24 @@ def _meet(edits: int):
 
 def _whole(batch: pa.RecordBatch) -> packed.Arrays:
     ln = find_lines(batch.column("text"))
-    acc, down = tx.prefix(tx._VALUE[ln.data])
-    h = tx.spans(acc, down, ln.start, ln.end)
-    return {"key": h, "doc": batch.column("doc_id").to_numpy()[ln.row], "nth": batch.column("nth").to_numpy()[ln.row], "number": ln.number}
+    h, h2 = tx.chunks(tx.padded(ln.data), ln.start, ln.end).both()
+    return {"key": h, "key2": h2, "doc": batch.column("doc_id").to_numpy()[ln.row], "nth": batch.column("nth").to_numpy()[ln.row], "number": ln.number}
 
 
 def _firsts(a: packed.Arrays) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((a["number"], a["nth"], a["doc"], a["key"]))
-    h, doc, nth, number = a["key"][order], a["doc"][order], a["nth"][order], a["number"][order]
-    same = np.zeros(len(h), bool)
-    same[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1]) & (nth[1:] == nth[:-1]) & (number[1:] == number[:-1])
-    h, doc, nth, number = h[~same], doc[~same], nth[~same], number[~same]
-    start, length = packed.runs(h)
-    first = np.repeat(start, length)
-    yield pa.record_batch({"h": pa.array(h.view(np.int64)), "doc_id": pa.array(doc), "nth": pa.array(nth), "line_no": pa.array(number), "first_doc_id": pa.array(doc[first]), "first_nth": pa.array(nth[first]), "first_line_no": pa.array(number[first])})
+    order = np.lexsort((a["number"], a["nth"], a["doc"], a["key2"], a["key"]))
+    h, h2, doc, nth, number = (a[c][order] for c in ("key", "key2", "doc", "nth", "number"))
+    alike = np.zeros(len(h), bool)
+    alike[1:] = (h[1:] == h[:-1]) & (h2[1:] == h2[:-1])
+    same = alike.copy()
+    same[1:] &= (doc[1:] == doc[:-1]) & (nth[1:] == nth[:-1]) & (number[1:] == number[:-1])
+    h, h2, doc, nth, number, alike = (x[~same] for x in (h, h2, doc, nth, number, alike))
+    start = np.flatnonzero(~alike)
+    first = np.repeat(start, np.diff(np.append(start, len(h))))
+    yield pa.record_batch({"h": pa.array(h.view(np.int64)), "h2": pa.array(h2.view(np.int64)), "doc_id": pa.array(doc), "nth": pa.array(nth), "line_no": pa.array(number), "first_doc_id": pa.array(doc[first]), "first_nth": pa.array(nth[first]), "first_line_no": pa.array(number[first])})
 
 
-_FIRST = "h bigint, doc_id bigint, nth int, line_no int, first_doc_id bigint, first_nth int, first_line_no int"
+_FIRST = "h bigint, h2 bigint, doc_id bigint, nth int, line_no int, first_doc_id bigint, first_nth int, first_line_no int"
 
 
 def edit_distance(x: list[bytes], y: list[bytes], k: int) -> np.ndarray:
@@ -247,51 +248,57 @@ def _measure(k: int):
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The trimmed lines whose numbers are wanted."""
     for batch in batches:
-        out: list[tuple[int, bytes]] = []
+        out: list[tuple[int, int, bytes]] = []
         for text, want in zip(batch.column("text").to_pylist(), batch.column("want").to_pylist()):
             every = text.encode().split(b"\n")
-            out += [(w["h"], every[w["line_no"]].strip(b" \t\r")) for w in want if w["line_no"] < len(every)]
-        h, t = zip(*out) if out else ((), ())
-        yield pa.record_batch({"h": pa.array(h, pa.int64()), "t": pa.array(t, pa.binary())})
+            out += [(w["h"], w["h2"], every[w["line_no"]].strip(b" \t\r")) for w in want if w["line_no"] < len(every)]
+        h, h2, t = zip(*out) if out else ((), (), ())
+        yield pa.record_batch({"h": pa.array(h, pa.int64()), "h2": pa.array(h2, pa.int64()), "t": pa.array(t, pa.binary())})
+
+
+def _known(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
 
 
 def _docs(docs: DataFrame) -> DataFrame:
     """(doc_id, nth, text): texts that share an id are numbered on by their order."""
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    return _number(d, _numbers(d))
+    d = _known(docs)
+    return _number(d, _numbers(d), "nth")
 
 
 def _numbers(d: DataFrame) -> DataFrame | None:
-    """(__id, __hash, __nth) of the texts that share an id with other ones; None if there are none."""
+    """(id, hash, nth) of the texts that share an id with other ones; None if there are none."""
     hashed = d.select("doc_id", F.xxhash64("text").alias("hash"))
     many = store.cut(hashed.groupBy("doc_id").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a <> b").select("doc_id"))
     if many.isEmpty():
         return None
     texts = store.restrict(d, many, "doc_id").distinct()
     by = Window.partitionBy("doc_id").orderBy("text")
-    return store.cut(texts.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash"), (F.row_number().over(by) - 1).alias("__nth")))
+    return store.cut(texts.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), (F.row_number().over(by) - 1).alias("nth")))
 
 
-def _number(d: DataFrame, numbers: DataFrame | None, name: str = "nth") -> DataFrame:
-    """d with the number of each row's text among those of its id."""
+def _number(d: DataFrame, numbers: DataFrame | None, name: str) -> DataFrame:
+    """d with the number of each row's text among those of its id, under a name that d hasn't."""
     if numbers is None:
         return d.withColumn(name, F.lit(0))
-    on = (F.col("doc_id").cast("bigint") == F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash"))
-    return d.join(numbers, on, "left").withColumn(name, F.coalesce("__nth", F.lit(0))).drop("__id", "__hash", "__nth")
+    i, h, n = store.fresh(d, "id", "hash", "number")
+    on = (F.col("doc_id").cast("bigint") == F.col(i)) & (F.xxhash64(F.col("text").cast("string")) == F.col(h))
+    return d.join(numbers.toDF(i, h, n), on, "left").withColumn(name, F.coalesce(n, F.lit(0))).drop(i, h, n)
 
 
 def _dropped(docs: DataFrame, params: LineParams) -> DataFrame:
     """dropped_lines with the number of each line's text among those of its id, nth."""
-    occ = store.cut(packed.exchange(docs, _whole, {"key": "<u8", "doc": "<i8", "nth": "<i4", "number": "<i4"}, _firsts, _FIRST))
+    occ = store.cut(packed.exchange(docs, _whole, {"key": "<u8", "key2": "<u8", "doc": "<i8", "nth": "<i4", "number": "<i4"}, _firsts, _FIRST))
     met = packed.exchange(docs.select("text"), _segments(params), {"low": "<u4", "line": "<u8", "sketch": "<u8"}, _meet(params.edits), "u bigint, v bigint")
     met = store.cut(met.distinct())
     hs = store.cut(met.select(F.explode(F.array("u", "v")).alias("h")).distinct())
-    first = occ.where("doc_id = first_doc_id and nth = first_nth and line_no = first_line_no").select("h", "doc_id", "nth", "line_no")
-    want = store.restrict(first, hs, "h").groupBy("doc_id", "nth").agg(F.collect_list(F.struct("h", "line_no")).alias("want"))
+    first = occ.where("doc_id = first_doc_id and nth = first_nth and line_no = first_line_no").select("h", "h2", "doc_id", "nth", "line_no")
+    want = store.restrict(first, hs, "h").groupBy("doc_id", "nth").agg(F.collect_list(F.struct("h", "h2", "line_no")).alias("want"))
     want = store.cut(want)
     small = want.count() <= store.BROADCAST_IDS // 16
-    lines = docs.join(F.broadcast(want) if small else want.hint("shuffle_hash"), ["doc_id", "nth"]).select("text", "want").mapInArrow(_pick, "h bigint, t binary")
-    lines = store.cut(lines.groupBy("h").agg(F.first("t").alias("t")).join(store.restrict(first, hs, "h"), "h"))
+    lines = docs.join(F.broadcast(want) if small else want.hint("shuffle_hash"), ["doc_id", "nth"]).select("text", "want").mapInArrow(_pick, "h bigint, h2 bigint, t binary")
+    # Lines that share the hash of the join but not both are each held against the others, by their bytes.
+    lines = store.cut(lines.groupBy("h", "h2").agg(F.first("t").alias("t")).join(store.restrict(first, hs, "h"), ["h", "h2"]))
     side = lambda x: lines.select(F.col("h").alias(x), F.col("t").alias(f"t{x}"), F.col("doc_id").alias(f"d{x}"), F.col("nth").alias(f"x{x}"), F.col("line_no").alias(f"n{x}"))
     pairs = met.join(side("u"), "u").join(side("v"), "v").mapInArrow(_measure(params.edits), "u bigint, v bigint, du bigint, xu int, nu int, dv bigint, xv int, nv int, edits int")
     ordered = pairs.select(F.expr("explode(array(struct(u h, du doc_id, xu nth, nu line_no, dv first_doc_id, xv first_nth, nv first_line_no, edits), struct(v h, dv doc_id, xv nth, nv line_no, du first_doc_id, xu first_nth, nu first_line_no, edits)))").alias("e")).select("e.*")
@@ -305,22 +312,35 @@ def dropped_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFra
     return _dropped(_docs(docs), params).drop("nth")
 
 
+def _cut(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    """Texts without the lines of the given numbers; null where there are none to cut."""
+    out = []
+    for text, numbers in zip(texts.to_pylist(), gone.to_pylist()):
+        if text is None or not numbers:
+            out.append(None)
+        else:
+            less = set(numbers)
+            out.append("\n".join(line for n, line in enumerate(text.split("\n")) if n not in less))
+    return pa.array(out, pa.string())
+
+
 def dedup_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     """The documents without the dropped lines, in their columns."""
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    d = _known(docs)
     numbers = _numbers(d)
-    gone = _dropped(_number(d, numbers), params).groupBy(F.col("doc_id").alias("__doc"), F.col("nth").alias("__of")).agg(F.collect_set("line_no").alias("__gone"))
-    joined = _number(docs, numbers, "__n").join(gone, (F.col("doc_id") == F.col("__doc")) & (F.col("__n") == F.col("__of")), "left")
-    parts = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("__gone", i.cast("int"))), "\n")
-    hit = F.col("__gone").isNotNull() & F.col("text").isNotNull()
-    out = joined.withColumn("__text", F.when(hit, kept).otherwise(F.col("text"))).where(~hit | (F.trim(F.regexp_replace("__text", "[\n\t\r]", " ")) != ""))
+    nth, of, doc, gone, kept = store.fresh(docs, "nth", "of", "doc", "gone", "kept")
+    lost = _dropped(_number(d, numbers, "nth"), params).groupBy(F.col("doc_id").alias(doc), F.col("nth").alias(of)).agg(F.collect_set("line_no").alias(gone))
+    joined = _number(docs, numbers, nth).join(lost, (F.col("doc_id").cast("bigint") == F.col(doc)) & (F.col(nth) == F.col(of)), "left")
+    cut = F.arrow_udf(_cut, "string")(F.col("text").cast("string"), F.col(gone))
+    joined = joined.withColumn(kept, cut)
+    hit = F.col(kept).isNotNull()
+    out = joined.where(~hit | (F.trim(F.regexp_replace(kept, "[\n\t\r]", " ")) != ""))
     cols = []
     for name in docs.columns:
         if name == "text":
-            cols.append(F.col("__text").alias("text"))
+            cols.append(F.when(hit, F.col(kept)).otherwise(F.col("text")).alias("text"))
         elif name == "n_chars":
-            cols.append(F.when(hit, F.char_length("__text").cast(docs.schema[name].dataType)).otherwise(F.col(name)).alias(name))
+            cols.append(F.when(hit, F.char_length(kept).cast(docs.schema[name].dataType)).otherwise(F.col(name)).alias(name))
         else:
             cols.append(F.col(f"`{name}`"))
     return out.select(cols)

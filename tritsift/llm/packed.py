@@ -77,6 +77,19 @@ def exchange(df: DataFrame, make: Callable[[pa.RecordBatch], Arrays], fields: di
     return store.by_bucket(moved).mapInArrow(gather, schema)
 
 
+def keep_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of docs for which ``keep``, given their texts, is true, with all their columns, whatever their names."""
+    at = docs.columns.index("text")
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # mapInArrow doesn't take names with dots
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in tx.slices(batch, f"c{at}"):
+                yield piece.filter(pa.array(keep(piece.column(at))))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def runs(sorted_key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each run of equal values begins, and its length."""
     if not len(sorted_key):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tritsift.llm import store
+from tritsift.llm import packed, store
 from tritsift.llm import text as tx
 
 
@@ -149,9 +149,4 @@ def quality_filter(docs: DataFrame, model: QualityModel) -> DataFrame:
     p, bias = model.params, model.bias
     shared = docs.sparkSession.sparkContext.broadcast(model.weights)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in tx.slices(batch):
-                yield piece.filter(pa.array(_scores(piece.column("text"), shared.value, bias, p) >= p.threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    return packed.keep_rows(docs, lambda texts: _scores(texts, shared.value, bias, p) >= p.threshold)

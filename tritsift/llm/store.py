@@ -2,13 +2,18 @@
 
 Intermediate tables are Parquet in the folder that the session names in
 ``spark.checkpoint.dir``, which all executors share, so that a lost executor
-costs only its running tasks.
+costs only its running tasks. They are deleted when the work inside
+``temporary`` is done, by ``clear``, or else at the end of the driver's process:
+a DataFrame that an operator returns still reads them.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +30,68 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder and read again."""
+#: Tables that this process has written and not yet deleted.
+_made: list[str] = []
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+        if p in _made:
+            _made.remove(p)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that were cut within; what is still needed must have been written by then."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        drop(spark, _made[before:])
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this process has cut. Results that read them must have been written."""
+    drop(spark, list(_made))
+
+
+@atexit.register
+def _at_exit() -> None:
+    try:
+        spark = SparkSession.getActiveSession()
+        if spark is not None and _made:
+            clear(spark)
+    except Exception:  # the session may have ended already
+        pass
+
+
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each lengthened until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return tuple(out)
+
+
+def written(df: DataFrame) -> tuple[str, DataFrame]:
+    """Where the rows were written in the shared folder, and the rows read from there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder and read again."""
+    return written(df)[1]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -63,12 +124,14 @@ def first_by_hash(df: DataFrame, columns: list[str], n: int) -> DataFrame:
     that tasks don't each send n rows; without it if fewer than n distinct rows
     pass, so the result is the same.
     """
-    rows = df.select(*columns).withColumn("__o", F.xxhash64(*columns))
+    rows = df.select(*columns)
+    o = fresh(rows, "o")[0]
+    rows = rows.withColumn(o, F.xxhash64(*columns))
     total = rows.count()
     few = rows
     if total > 3 * n:
-        few = rows.where(F.col("__o") < -(1 << 63) + int((1 << 64) * (3 * n / total)))
+        few = rows.where(F.col(o) < -(1 << 63) + int((1 << 64) * (3 * n / total)))
         few = few.distinct()
         if few.count() < n:
             few = rows
-    return few.distinct().orderBy("__o", *columns).limit(n).drop("__o")
+    return few.distinct().orderBy(o, *columns).limit(n).drop(o)

@@ -2,14 +2,16 @@
 
 A word is a maximal run of ASCII letters and digits and of bytes from 0x80 on
 (so every non-ASCII letter counts), in the lower-cased text. A null text is an
-empty one. ``words`` hashes all words of a column at once: with the prefix sums
-of ``value[byte] * B**position`` modulo 2**64, a word's hash is a difference of
-two prefix sums times the inverse power of B at its start.
+empty one. ``words`` hashes all words of a column at once: a span's hash is the
+sum, over its chunks of eight bytes, of a mix of the chunk and its place, mixed
+with the length. No chunk enters linearly, so that texts of a regular build
+don't meet as they do under a polynomial modulo 2**64.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,6 @@ import pyarrow.compute as pc
 #: Bytes of text that are hashed at a time.
 SLICE_BYTES = 1 << 20
 _B = 0x9E3779B97F4A7C15
-_BINV = pow(_B, -1, 1 << 64)
 _U = np.uint64
 
 
@@ -33,7 +34,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-_VALUE = _mixed(256, 11)
 _SPACE, _WORD, _PUNCT = 0, 1, 2
 _CLASS = np.full(256, _PUNCT, np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = _SPACE
@@ -41,18 +41,14 @@ _CLASS[0x80:] = _WORD
 for _lo, _hi in ((48, 58), (65, 91), (97, 123)):
     _CLASS[_lo:_hi] = _WORD
 _IS_WORD = _CLASS == _WORD
-_powers: list[np.ndarray] = [np.ones(0, _U), np.ones(0, _U)]
+_places: list[np.ndarray] = [np.zeros(0, _U)]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i modulo 2**64 for i < n."""
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 65536)
-        for k, base in enumerate((_B, _BINV)):
-            a = np.full(size, base, _U)
-            a[0] = 1
-            _powers[k] = np.multiply.accumulate(a)
-    return _powers[0][:n], _powers[1][:n]
+def places(n: int) -> np.ndarray:
+    """Keys of the first n chunks of a span."""
+    if len(_places[0]) < n:
+        _places[0] = _mixed(max(2 * n, 1 << 12), 11)
+    return _places[0]
 
 
 def buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -76,17 +72,69 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         yield batch.slice(a, b - a)
 
 
-def prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of values[i] * B**i with a leading 0, and the inverse powers, for ``spans``."""
-    up, down = powers(len(values) + 1)
-    acc = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * up[: len(values)], out=acc[1:])
-    return acc, down
-
-
-def spans(acc: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of values[start:end], the same wherever the same values stand."""
-    return mix((acc[end] - acc[start]) * down[start] + (end - start).astype(_U) * _U(0xA24BAED4963EE407))
+@dataclass
+class Chunks:
+    """The eight-byte chunks of spans, the last of each filled up with zeros."""
+
+    value: np.ndarray
+    #: The span of each chunk, its place in it, and each span's first chunk and number of them.
+    owner: np.ndarray
+    place: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+    size: np.ndarray
+
+    def total(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.size), _U)
+        full = self.count > 0
+        if full.any():
+            out[full] = np.add.reduceat(x, self.first[full])
+        return out
+
+    def hash(self) -> np.ndarray:
+        return mix(self.total(self._mixed()) + self.size.astype(_U) * _U(0xA24BAED4963EE407))
+
+    def both(self) -> tuple[np.ndarray, np.ndarray]:
+        """The hash and a second one that doesn't depend on it."""
+        x = self._mixed()
+        n = self.size.astype(_U)
+        return mix(self.total(x) + n * _U(0xA24BAED4963EE407)), mix(self.total(mix(x ^ _U(0x2545F4914F6CDD1D))) ^ n * _U(0x9FB21C651E98DF25))
+
+    def _mixed(self) -> np.ndarray:
+        return mix(self.value ^ places(int(self.count.max(initial=0)))[self.place])
+
+
+def padded(data: np.ndarray) -> np.ndarray:
+    """data with eight zeros behind it, as ``chunks`` needs it."""
+    return np.concatenate([data, np.zeros(8, np.uint8)])
+
+
+def chunks(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Chunks:
+    """Chunks of the spans [start, end) of padded bytes."""
+    size = end - start
+    count = (size + 7) >> 3
+    first = np.cumsum(count) - count
+    owner = np.repeat(np.arange(len(size)), count)
+    place = np.arange(len(owner)) - first[owner]
+    step = place << 3
+    value = np.ndarray((max(len(data) - 7, 0),), "<u8", data, 0, (1,))[start[owner] + step]
+    left = size[owner] - step
+    short = np.flatnonzero(left < 8)
+    value[short] &= (_U(1) << (left[short] << 3).astype(_U)) - _U(1)
+    return Chunks(value, owner, place, first, count, size)
+
+
+def windows(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k consecutive values, by doubling."""
+    out, done, g, size = None, 0, h, 1
+    while True:
+        if k & size:
+            out = g if out is None else mix(out[: max(len(out) - size, 0)] * _U(_B) + g[done : done + max(len(out) - size, 0)])
+            done += size
+        if done == k:
+            return out if len(h) >= k else h[:0]
+        g = mix(g[:-size] * _U(_B) + g[size:]) if len(g) > size else g[:0]
+        size *= 2
 
 
 def words(arr: pa.Array, lower: bool = True, punct: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -111,8 +159,7 @@ def words(arr: pa.Array, lower: bool = True, punct: bool = False) -> tuple[np.nd
         edge[1:-1] |= w[1:] != w[:-1]
     start = np.flatnonzero(w & edge[:-1])
     end = np.flatnonzero(w & edge[1:]) + 1
-    acc, down = prefix(_VALUE[data])
-    return spans(acc, down, start, end), start, end, np.searchsorted(start, offs)
+    return chunks(padded(data), start, end).hash(), start, end, np.searchsorted(start, offs)
 
 
 def ngrams(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,9 +199,5 @@ def plain_words(text: str | None) -> list[bytes]:
 
 def hash_words(items: list[bytes]) -> np.ndarray:
     """Hashes of given words, as ``words`` makes them."""
-    out = np.empty(len(items), _U)
-    for i, w in enumerate(items):
-        v = _VALUE[np.frombuffer(w, np.uint8)]
-        acc, down = prefix(v)
-        out[i] = spans(acc, down, np.array([0]), np.array([len(v)]))[0]
-    return out
+    ends = np.cumsum([len(w) for w in items], dtype=np.int64)
+    return chunks(padded(np.frombuffer(b"".join(items), np.uint8)), np.append(0, ends[:-1])[: len(items)], ends).hash()
