@@ -67,7 +67,7 @@ def leaky():
 def test_decontamination(spark):
     texts, held = leaky()
     bench = spark.createDataFrame([(*x, "t") for x in items()], "item_id bigint, text string, doc_id string")
-    for p in (decontaminate.DecontaminationParams(), decontaminate.DecontaminationParams(index=4, block=2, shard_bytes=400)):
+    for p in (decontaminate.DecontaminationParams(), decontaminate.DecontaminationParams(block=2, shard_bytes=400)):
         got = decontaminate.contaminated(docs(spark, texts), bench, p).collect()
         assert {(r.doc_id, r.item_id) for r in got} == held
     left = decontaminate.decontaminate(docs(spark, [*texts, (None, texts[1][1]), (70, None)]), bench)
@@ -80,8 +80,73 @@ def test_decontamination(spark):
         assert decontaminate.decontaminate(make(spark), bench.limit(0)).count() == n
 
 
+def brute_leaks(texts, bench, p):
+    """{(doc_id, item_id): (question overlap, answer overlap)} by plain words, every passage against every piece."""
+    grams = lambda ws: {tuple(ws[i : i + p.n]) for i in range(max(1, len(ws) - p.n + 1))} if ws else set()
+    its = {}
+    for i, t in bench:
+        if i is not None and t:
+            ws = tx.plain_words(t)
+            parts = [x for x in map(tx.plain_words, re.split(r"[.!?]+\s", t)) if x]
+            tail = min(len(ws), max(len(parts[-1]) if len(parts) > 1 else len(ws) // 3, p.n))
+            head = ws[: len(ws) - tail]
+            its.setdefault((i, t), (ws, grams(head if len(head) >= p.n else ws), grams(ws[len(ws) - tail :])))
+    pieces = [(k, ws[s : s + p.piece]) for k, (ws, _, _) in its.items() for s in range(0, len(ws), p.piece)]
+    df, mean = collections.Counter(w for _, x in pieces for w in set(x)), sum(len(x) for _, x in pieces) / len(pieces)
+    out = {}
+    for d, t in texts:
+        ws = tx.plain_words(t)
+        for k in range(-(-max(len(ws), 1) // p.piece)):
+            bag = set(ws[k * p.piece : (k + 2) * p.piece])
+            for key, x in pieces:
+                c = collections.Counter(x)
+                weight = {w: math.log(1 + (len(pieces) - df[w] + 0.5) / (df[w] + 0.5)) * n * (p.k1 + 1) / (n + p.k1 * (1 - p.b + p.b * len(x) / mean)) for w, n in c.items()}
+                if sum(v for w, v in weight.items() if w in bag) < p.threshold * sum(weight.values()) * (1 - 1e-9):
+                    continue
+                words, question, answer = its[key]
+                near = grams(ws[max(0, k * p.piece - len(words)) : (k + 2) * p.piece + len(words)])
+                q, a = (len(g & near) / len(g) if g else 0.0 for g in (question, answer))
+                if q >= p.question_overlap and a >= p.answer_overlap:
+                    x, y = out.get((d, key[0]), (0.0, 0.0))
+                    out[d, key[0]] = max(x, q), max(y, a)
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    """The whole operator, items in every degree of change."""
+    r = random.Random(11)
+    bench = [x for x in items() if x[1]]
+    texts = []
+    for d in range(50):
+        w = prose(7000 + d, r.randrange(1, 260)).split()
+        for _ in range(r.randrange(3)):
+            p = r.choice(bench)[1].split()
+            for n in range(len(p)):
+                if r.random() < r.choice((0, 0.1, 0.2, 0.4)):
+                    p[n] = prose(r.random(), 1)
+            at = r.randrange(len(w))
+            w[at:at] = p[r.randrange(4) :]
+        texts.append((d, " ".join(w)))
+    rows = spark.createDataFrame(bench, "item_id bigint, text string")
+    for p in (decontaminate.DecontaminationParams(), decontaminate.DecontaminationParams(block=2, piece=16, threshold=0.3, question_overlap=0.2, answer_overlap=0.1, shard_bytes=900)):
+        got = {(x.doc_id, x.item_id): (x.question_overlap, x.answer_overlap) for x in decontaminate.contaminated(docs(spark, texts), rows, p).collect()}
+        want = brute_leaks(texts, bench, p)
+        assert got.keys() == want.keys() and len(want) > 10
+
+
+def test_index_is_sparse():
+    import pickle
+
+    r = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(60_000)]
+    its = [decontaminate.split_item(i, " ".join(words[j] for j in r.integers(0, 60_000, 40)) + ". " + " ".join(words[j] for j in r.integers(0, 60_000, 8)), 3) for i in range(4000)]
+    index = decontaminate.build_index(its, decontaminate.DecontaminationParams())
+    size = sum(len(it.words) for it in its) * 6
+    assert len(pickle.dumps((its, index))) < 30 * size  # 16 MB of items stay under 500 MB
+
+
 def test_block_max_loses_nothing():
-    p = decontaminate.DecontaminationParams(block=4, index=16)
+    p = decontaminate.DecontaminationParams(block=4)
     r = random.Random(2)
     words = prose(1, 90).split()
     its = [decontaminate.split_item(i, " ".join(r.choice(words) for _ in range(r.randrange(4, 40))), p.n) for i in range(40)]
@@ -90,13 +155,14 @@ def test_block_max_loses_nothing():
         for h in tx.words(pa.array([" ".join(r.choice(words) for _ in range(r.randrange(3, 60)))]))[0].tolist():
             window.append(w), word.append(h)
     window, word = np.array(window), np.array(word, np.uint64)
-    for index in decontaminate.build_index(its, p):
-        found |= set(zip(*(v.tolist() for v in decontaminate.search(index, window, word, p))))
-        place = {t: i for i, t in enumerate(index.terms.tolist())}
-        for w in range(80):
-            ts = {place[h] for h in word[window == w].tolist() if h in place}
-            score = sum((index.weight[t] for t in ts), np.zeros(index.weight.shape[1]))
-            want |= {(w, int(index.item[c])) for c in np.flatnonzero(score >= 1 - 1e-9)}
+    index = decontaminate.build_index(its, p)
+    found = set(zip(*(v.tolist() for v in decontaminate.search(index, window, word, p))))
+    bags, pieces = [set(word[window == w].tolist()) for w in range(80)], decontaminate.cut_items(its, p)
+    df, mean = collections.Counter(h for _, x in pieces for h in set(x.tolist())), sum(len(x) for _, x in pieces) / len(pieces)
+    for i, x in pieces:
+        c = collections.Counter(x.tolist())
+        weight = {h: math.log(1 + (len(pieces) - df[h] + 0.5) / (df[h] + 0.5)) * n * (p.k1 + 1) / (n + p.k1 * (1 - p.b + p.b * len(x) / mean)) for h, n in c.items()}
+        want |= {(w, i) for w in range(80) if sum(weight[h] for h in c.keys() & bags[w]) >= p.threshold * sum(weight.values()) * (1 - 1e-9)}
     assert found == want and len(want) > 20
 
 

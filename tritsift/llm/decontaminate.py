@@ -4,11 +4,15 @@ Items are indexed in pieces of at most ``piece`` words. Training texts are read
 as overlapping passages of 2 * piece words, a piece apart, so that each run of
 piece words lies whole in one. A passage's distinct words are the query. A
 piece's score is its BM25 score divided by that of the piece's own words; pieces
-of a score of ``threshold`` or more are all retrieved, by block-max bounds as in
-WAND: a passage whose words' largest weights anywhere don't reach the threshold
-together is passed over, then every block of pieces whose own largest weights
-don't, and only the pieces of the remaining blocks are scored. Each bound is an
-upper bound, so nothing above the threshold is lost.
+of a score of ``threshold`` or more are all retrieved, by block-max WAND over
+posting lists, many passages at once. A passage whose words' largest weights
+don't reach the threshold together is passed over. Of the others the words are
+taken in the order of their largest weights up to the pivot, at which the
+weights so far reach the threshold: a piece has to hold a word from the pivot
+on, so only the blocks in those words' lists are looked at. A block whose own
+largest weights, of all the passage's words, don't reach the threshold is
+skipped, and the pieces of the others are scored. Each bound is an upper bound,
+so nothing above the threshold is lost.
 
 A retrieved item is held against the passage and its surroundings: of the
 distinct word ``n``-grams of its question and of its answer the shares
@@ -16,8 +20,8 @@ distinct word ``n``-grams of its question and of its answer the shares
 its last sentence where it has several, else its last third; an answer shorter
 than n words is extended to n.
 
-The index holds at most ``shard_bytes`` of item text at a time, which are
-broadcast; more items are taken in several passes over the documents, with the
+The index holds at most ``shard_bytes`` of item text at a time; it is built once,
+broadcast, and kept by each worker. More items are taken in several passes over the documents, with the
 document frequencies and the mean length of all items. Null or
 empty documents hold nothing; null or empty items are never found; items with a
 null item_id are left out. Rows that repeat an item or a document count once in
@@ -47,9 +51,8 @@ class DecontaminationParams:
     k1: float = 1.2
     b: float = 0.75
     threshold: float = 0.5
-    #: Pieces of a block, and of an index that is searched at a time.
+    #: Pieces of a block.
     block: int = 8
-    index: int = 2048
     n: int = 3
     question_overlap: float = 0.5
     answer_overlap: float = 0.5
@@ -66,14 +69,21 @@ class Item:
 
 @dataclass
 class Index:
-    """terms: sorted word hashes. weight[t, i]: BM25 weight of a term in a piece, over the piece's own score times the threshold."""
+    """Posting lists. A weight is a term's BM25 weight in a piece, over the piece's own score times the threshold."""
 
+    #: Sorted word hashes, the largest weight of each, and where each one's blocks begin (one more at the end).
     terms: np.ndarray
-    weight: np.ndarray
-    block_max: np.ndarray
     top: np.ndarray
-    #: Position in the list of items, for each piece.
+    at: np.ndarray
+    #: Blocks with a term, in order, the largest weight there, and where the postings begin (one more at the end).
+    block: np.ndarray
+    block_max: np.ndarray
+    begin: np.ndarray
+    piece: np.ndarray
+    weight: np.ndarray
+    #: Position in the list of items, for each piece; blocks are of consecutive pieces.
     item: np.ndarray
+    blocks: int
 
 
 def _grams(h: np.ndarray, n: int) -> np.ndarray:
@@ -108,60 +118,101 @@ def count_items(items: list[Item], p: DecontaminationParams) -> Stats:
     return Stats(len(pieces), sum(map(len, pieces)) / max(len(pieces), 1), terms, df)
 
 
-def build_index(items: list[Item], p: DecontaminationParams, stats: Stats | None = None) -> list[Index]:
-    """Indexes of up to ``index`` pieces each, with the statistics of all items; without them, of these."""
+def build_index(items: list[Item], p: DecontaminationParams, stats: Stats | None = None) -> Index | None:
+    """The index of the items, with the statistics of all items; without them, of these. None if they have no words."""
     pieces = cut_items(items, p)
     if not pieces:
-        return []
+        return None
     stats = stats or count_items(items, p)
-    every, mean = stats.terms, stats.mean
-    idf = np.log(1 + (stats.pieces - stats.df + 0.5) / (stats.df + 0.5))
-    out = []
-    for s in range(0, len(pieces), p.index):
-        some = pieces[s : s + p.index]
-        some.sort(key=lambda x: len(x[1]))  # alike lengths have alike weights, which makes the blocks' bounds tight
-        terms = np.unique(np.concatenate([w for _, w in some]))
-        width = -(-len(some) // p.block) * p.block
-        weight = np.zeros((len(terms), width), np.float64)
-        for c, (_, w) in enumerate(some):
-            u, tf = np.unique(w, return_counts=True)
-            x = idf[np.searchsorted(every, u)] * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * len(w) / mean))
-            weight[np.searchsorted(terms, u), c] = x / (p.threshold * x.sum())
-        block = weight.reshape(len(terms), -1, p.block).max(2)
-        out.append(Index(terms, weight, block, block.max(1), np.array([i for i, _ in some])))
-    return out
+    pieces.sort(key=lambda x: len(x[1]))  # alike lengths have alike weights, which makes the blocks' bounds tight
+    n = len(pieces)
+    size = np.array([len(w) for _, w in pieces])
+    terms, t = np.unique(np.concatenate([w for _, w in pieces]), return_inverse=True)
+    pair, tf = np.unique(t * n + np.repeat(np.arange(n), size), return_counts=True)
+    t, piece = pair // n, pair % n
+    df = stats.df[np.searchsorted(stats.terms, terms)]
+    idf = np.log(1 + (stats.pieces - df + 0.5) / (df + 0.5))
+    x = idf[t] * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * size[piece] / stats.mean))
+    weight = x / (p.threshold * np.bincount(piece, x, n))[piece]
+    blocks = -(-n // p.block)
+    cell = t * blocks + piece // p.block
+    begin, _ = packed.runs(cell)
+    most = np.maximum.reduceat(weight, begin)
+    at = np.searchsorted(t[begin], np.arange(len(terms) + 1))
+    return Index(terms, np.maximum.reduceat(most, at[:-1]), at, cell[begin] % blocks, most, np.append(begin, len(cell)), piece, weight, np.array([i for i, _ in pieces]), blocks)
+
+
+#: Postings that are looked at together.
+_STEP = 1_000_000
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges [first, first + count): the range and the position of each element."""
+    owner = np.repeat(np.arange(len(count)), count)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + first[owner]
 
 
 def search(index: Index, window: np.ndarray, word: np.ndarray, p: DecontaminationParams) -> tuple[np.ndarray, np.ndarray]:
     """Windows and items of all pieces that score at least the threshold; (window, word) are the passages' words."""
+    slack = 1 - 1e-9
     t = np.minimum(np.searchsorted(index.terms, word), len(index.terms) - 1)
     known = index.terms[t] == word
     pair = np.unique(window[known] * len(index.terms) + t[known])
     w, t = pair // len(index.terms), pair % len(index.terms)
-    slack = 1 - 1e-9
     start, length = packed.runs(w)
     if not len(start):
         return w, t
-    live = np.add.reduceat(index.top[t], start) >= slack
-    keep = np.repeat(live, length)
+    keep = np.repeat(np.add.reduceat(index.top[t], start) >= slack, length)
     w, t = w[keep], t[keep]
+    order = np.lexsort((index.top[t], w))
+    w, t = w[order], t[order]
     start, length = packed.runs(w)
+    nth = np.repeat(np.arange(len(start)), length)
+    run = np.cumsum(index.top[t])
+    run -= (run[start] - index.top[t[start]])[nth] if len(start) else 0
+    late = run >= slack  # from the pivot on
+    before = np.bincount(nth[~late], index.top[t[~late]], len(start))  # what the words before it can add
+    load = np.cumsum(np.bincount(nth[late], (index.at[t + 1] - index.at[t])[late], len(start)))
     found_w, found_i = [], []
-    for s in range(0, len(start), 4096):
-        first, size = start[s : s + 4096], length[s : s + 4096]
-        lo, hi = first[0], first[-1] + size[-1]
-        bound = np.add.reduceat(index.block_max[t[lo:hi]], first - lo, axis=0)
-        for b in np.flatnonzero((bound >= slack).any(0)).tolist():
-            mine = np.flatnonzero(bound[:, b] >= slack)
-            rows = np.concatenate([np.arange(first[m], first[m] + size[m]) for m in mine])
-            score = np.add.reduceat(index.weight[t[rows], b * p.block : (b + 1) * p.block], np.cumsum(size[mine]) - size[mine], axis=0)
-            x, y = np.nonzero(score >= slack)
-            found_w.append(w[first[mine[x]]])
-            found_i.append(index.item[b * p.block + y])
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(load, (load[lo - 1] if lo else 0) + _STEP, "right")))
+        a, b = start[lo], start[hi - 1] + length[hi - 1]
+        own, tt, here = nth[a:b] - lo, t[a:b], late[a:b]
+        e = np.flatnonzero(here)
+        who, post = _spread(index.at[tt[e]], index.at[tt[e] + 1] - index.at[tt[e]])
+        cell = own[e][who] * index.blocks + index.block[post]
+        cells, back = np.unique(cell, return_inverse=True)
+        bound = np.bincount(back, index.block_max[post], len(cells)) + before[lo:hi][cells // index.blocks]
+        cells = cells[bound >= slack]
+        # The remaining cells' lists, of all words of the window.
+        win, blk = cells // index.blocks, cells % index.blocks
+        c, k = _spread(start[lo:hi][win] - a, length[lo:hi][win])
+        flat = tt[k] * index.blocks + blk[c]
+        spot = np.minimum(np.searchsorted(_cells(index), flat), len(index.block) - 1)
+        there = _cells(index)[spot] == flat
+        c, spot = c[there], spot[there]
+        good = np.bincount(c, index.block_max[spot], len(cells)) >= slack
+        c, spot = c[good[c]], spot[good[c]]
+        o, q = _spread(index.begin[spot], index.begin[spot + 1] - index.begin[spot])
+        at = win[c][o] * len(index.item) + index.piece[q]
+        hits, back = np.unique(at, return_inverse=True)
+        hits = hits[np.bincount(back, index.weight[q], len(hits)) >= slack]
+        found_w.append(w[start[lo:hi]][hits // len(index.item)])
+        found_i.append(index.item[hits % len(index.item)])
+        lo = hi
     return (np.concatenate(found_w), np.concatenate(found_i)) if found_w else (w[:0], t[:0])
 
 
-def leaks(arr: pa.Array, items: list[Item], indexes: list[Index], p: DecontaminationParams) -> list[tuple[int, int, float, float]]:
+def _cells(index: Index) -> np.ndarray:
+    """term * blocks + block of each block posting, in order."""
+    got = index.__dict__.get("cells")
+    if got is None:
+        got = index.__dict__["cells"] = np.repeat(np.arange(len(index.terms)), np.diff(index.at)) * index.blocks + index.block
+    return got
+
+
+def leaks(arr: pa.Array, items: list[Item], index: Index | None, p: DecontaminationParams) -> list[tuple[int, int, float, float]]:
     """(row, item's position, question overlap, answer overlap) of the items that a column's texts hold."""
     h, _, _, row = tx.words(arr)
     count = np.diff(row)
@@ -173,16 +224,16 @@ def leaks(arr: pa.Array, items: list[Item], indexes: list[Index], p: Decontamina
     window = np.concatenate([base[owner] + part, (base[owner] + part - 1)[part > 0]])
     word = np.concatenate([h, h[part > 0]])
     best: dict[tuple[int, int], tuple[float, float]] = {}
-    for index in indexes:
-        for w, i in zip(*(v.tolist() for v in search(index, window, word, p))):
-            r = int(np.searchsorted(base, w, "right")) - 1
-            it = items[i]
-            reach = len(it.words)
-            lo = row[r] + max(0, (w - int(base[r])) * p.piece - reach)
-            near = _grams(h[lo : min(row[r + 1], row[r] + (w - int(base[r]) + 2) * p.piece + reach)], p.n)
-            q, a = (float(np.isin(x, near).mean()) if len(x) else 0.0 for x in (it.question, it.answer))
-            if q >= p.question_overlap and a >= p.answer_overlap:
-                best[r, i] = max(best.get((r, i), (0.0, 0.0)), (q, a))
+    got = set(zip(*(v.tolist() for v in search(index, window, word, p)))) if index else ()
+    for w, i in got:
+        r = int(np.searchsorted(base, w, "right")) - 1
+        it = items[i]
+        reach = len(it.words)
+        lo = row[r] + max(0, (w - int(base[r])) * p.piece - reach)
+        near = _grams(h[lo : min(row[r + 1], row[r] + (w - int(base[r]) + 2) * p.piece + reach)], p.n)
+        q, a = (float(np.isin(x, near).mean()) if len(x) else 0.0 for x in (it.question, it.answer))
+        if q >= p.question_overlap and a >= p.answer_overlap:
+            best[r, i] = max(best.get((r, i), (0.0, 0.0)), (q, a))
     return [(r, i, q, a) for (r, i), (q, a) in sorted(best.items())]
 
 
@@ -218,14 +269,12 @@ def _shards(benchmark: DataFrame, p: DecontaminationParams) -> Iterator[tuple[li
 
 
 def _finder(docs: DataFrame, shard: list[tuple[int, str]], stats: Stats | None, p: DecontaminationParams) -> Callable[[pa.Array], list[tuple[int, int, float, float]]]:
-    shared = docs.sparkSession.sparkContext.broadcast((shard, stats))
-    held: list = []
+    items = [split_item(i, t, p.n) for i, t in shard]
+    shared = docs.sparkSession.sparkContext.broadcast((items, build_index(items, p, stats)))  # in proportion to shard_bytes
 
     def find(arr: pa.Array) -> list[tuple[int, int, float, float]]:
-        if not held:
-            items = [split_item(i, t, p.n) for i, t in shared.value[0]]
-            held.extend((items, build_index(items, p, shared.value[1])))
-        return [(r, held[0][i].item_id, q, a) for r, i, q, a in leaks(arr, *held, p)]
+        items, index = shared.value
+        return [(r, items[i].item_id, q, a) for r, i, q, a in leaks(arr, items, index, p)]
 
     return find
 
@@ -253,12 +302,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, params: Decontamination
     for shard, stats in _shards(benchmark, params):
         find = _finder(docs, shard, stats, params)
 
-        def run(batches: Iterator[pa.RecordBatch], find=find) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for piece in tx.slices(batch):
-                    clean = np.ones(piece.num_rows, bool)
-                    clean[[f[0] for f in find(piece.column(piece.schema.get_field_index("text")))]] = False
-                    yield piece.filter(pa.array(clean))
+        def clean(texts: pa.Array, find=find) -> np.ndarray:
+            out = np.ones(len(texts), bool)
+            out[[f[0] for f in find(texts)]] = False
+            return out
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = packed.keep_rows(docs, clean)
     return docs
