@@ -28,6 +28,18 @@ def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((key >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
 
 
+def squeeze(v: np.ndarray) -> bytes:
+    """Values as bytes: their number, then the first bytes of all, the second ones and so on, compressed. Of ids and positions only the low bytes take room."""
+    planes = np.ascontiguousarray(v.view(np.uint8).reshape(len(v), -1).T) if v.dtype.itemsize > 1 else v
+    return len(v).to_bytes(4, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def expand(blob: pa.Buffer, dtype: np.dtype) -> np.ndarray:
+    n = int.from_bytes(blob[:4], "little")
+    planes = np.frombuffer(pa.decompress(blob[4:], n * dtype.itemsize, "zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(dtype.itemsize, n).T).view(dtype).reshape(n)
+
+
 def exchange(df: DataFrame, make: Callable[[pa.RecordBatch], Arrays], fields: dict[str, str], reduce: Callable[[Arrays], Iterator[pa.RecordBatch]], schema: str, text_column: str | None = "text") -> DataFrame:
     """Records that ``make`` draws from the batches, moved by their "key", and what ``reduce`` returns for each partition.
 
@@ -45,8 +57,8 @@ def exchange(df: DataFrame, make: Callable[[pa.RecordBatch], Arrays], fields: di
         ends = [*at[1:].tolist(), len(order)]
         cols: list[pa.Array] = [pa.array(present.astype(np.int32))]
         for name in names:
-            v = np.ascontiguousarray(np.concatenate([a[name] for a in held])[order].astype(fields[name]))
-            cols.append(pa.array([v[i:j].tobytes() for i, j in zip(at.tolist(), ends)], pa.binary()))
+            v = np.concatenate([a[name] for a in held])[order].astype(fields[name])
+            cols.append(pa.array([squeeze(v[i:j]) for i, j in zip(at.tolist(), ends)], pa.binary()))
         return pa.record_batch(cols, names=["bucket", *names])
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +81,7 @@ def exchange(df: DataFrame, make: Callable[[pa.RecordBatch], Arrays], fields: di
         for batch in batches:
             for name in names:
                 for blob in batch.column(batch.schema.get_field_index(name)):
-                    parts[name].append(np.frombuffer(blob.as_buffer(), np.dtype(fields[name])))
+                    parts[name].append(expand(blob.as_buffer(), np.dtype(fields[name])))
         if parts[names[0]]:
             yield from reduce({n: np.concatenate(parts.pop(n)) for n in names})
 
