@@ -103,3 +103,27 @@ def test_training_order(spark, tmp_path, monkeypatch):
     assert any((slots[s] != other[s]).any() for s in slots)
     check_order(spark, EDGES, edge_docs(spark), materialize.MaterializeParams(seq_len=64, per_shard=50), str(tmp_path / "d"))
     assert materialize.shards(empty_docs(spark)).count() == 0
+
+
+def test_the_order_is_one_of_the_data(spark):
+    """Other splits and other numbers of buckets give the same bytes, which are those of a sort by hash."""
+    from pyspark.sql import functions as F
+
+    texts = [(i % 50, prose(i, 5 + i % 90)) for i in range(200)] + [(3, "same"), (3, "same"), (None, "same")]
+    p = materialize.MaterializeParams(seq_len=32, per_shard=7)
+    d = docs(spark, texts)
+    made = []
+    for rows, n in ((d, "4"), (d.repartition(9), "4"), (d.coalesce(1).orderBy("text"), "11"), (d.repartition(3), "1")):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        made.append({r.shard: bytes(r.payload) for r in materialize.shards(rows, p).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert all(m == made[0] for m in made)
+    hashed = d.select("text", F.xxhash64("doc_id", "text").alias("h"), F.xxhash64("text", "doc_id").alias("g")).collect()
+    eos, stream = len(ENC.tokens), []
+    for r in sorted(hashed, key=lambda r: (r.h % (1 << 64), r.g % (1 << 64))):
+        stream += [*OTHER.encode_ordinary(r.text), eos]
+    n = -(-len(stream) // 32)
+    stream += [eos] * (n * 32 - len(stream))
+    whole = np.frombuffer(b"".join(made[0][s] for s in sorted(made[0])), "<u2").reshape(n, 32)
+    slot = materialize.feistel(np.arange(n), n, p.key, p.rounds)
+    assert (whole[slot].reshape(-1) == stream).all()

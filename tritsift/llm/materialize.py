@@ -1,8 +1,11 @@
 """Training-order materialisation of token ids.
 
 The documents' ids, each document's followed by the end-of-text id, form one
-stream in the order of the table's splits; it is cut into sequences of
-``seq_len`` ids, the last filled up with the end-of-text id. A keyed Feistel
+stream in the order of a hash of (doc_id, text), a second hash breaking ties: an
+order of the data alone, whatever files, cores or partitions there are, so that a
+run resumed elsewhere reads the same sequences. The hash's range is cut evenly,
+so that the buckets need no sampling and no key is a hot one. The stream is cut
+into sequences of ``seq_len`` ids, the last filled up with the end-of-text id. A keyed Feistel
 permutation with cycle-walking gives each sequence its slot in the training
 order: no sort by random numbers, and the slot of any sequence, or the sequence
 of any slot, is computed without a table. Slots are range-partitioned into
@@ -13,7 +16,7 @@ and resumes anywhere.
 A null text is left out; an empty one is an end-of-text id alone; long texts go
 over as many sequences as they need. Repeated rows are each a document. An
 empty table makes no shard. Other columns are ignored. Rows with a null doc_id
-count, as ids aren't used.
+count, null being an id like others.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tritsift.llm import bpe, store
+from tritsift.llm import bpe, packed, store
 from tritsift.llm import text as tx
 
 _U = np.uint64
@@ -85,24 +88,66 @@ def _encoding(path: str, tokens: list[bytes]):
     return _encodings[path]
 
 
-def _tokens(shared, p: MaterializeParams, width: str):
-    """One row for each slice of text: its ids and where they stand among those of the partition."""
+#: Ids that a task holds before it sends them, and those of a row of the stream.
+_HELD, _ROW = 16 << 20, 1 << 19
+
+
+def _tokens(shared, p: MaterializeParams, width: str, buckets: int):
+    """The ids of each bucket's documents, with their hashes and numbers of ids."""
+
+    def pack(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        h, h2 = (np.array([x[i] for x in held], np.int64).view(_U) for i in (0, 1))
+        b = packed.bucket_of(h, buckets)
+        cols: list[list] = [[], [], [], [], []]
+        for k in np.unique(b).tolist():
+            mine = np.flatnonzero(b == k)
+            ids = [held[i][2] for i in mine.tolist()]
+            for col, x in zip(cols, (k, packed.squeeze(h[mine]), packed.squeeze(h2[mine]), packed.squeeze(np.array([len(x) for x in ids], "<u4")), packed.squeeze(np.concatenate(ids)))):
+                col.append(x)
+        return pa.record_batch([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "h", "h2", "n", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = shared.value[0]
         enc, eos = _encoding(p.vocabulary, tokens), len(tokens)
-        part, at = TaskContext.get().partitionId(), 0
+        held, size = [], 0
         for batch in batches:
             for piece in tx.slices(batch):
-                parts = []
-                for text in piece.column("text").to_pylist():
+                for text, h, h2 in zip(piece.column("text").to_pylist(), piece.column("h").to_pylist(), piece.column("h2").to_pylist()):
                     if text is not None:
-                        parts.append(np.asarray(enc.encode_ordinary(text) if len(text) <= LONG_TEXT else bpe._worker(shared, p.vocabulary).encode(pa.array([text]))[0], width))
-                        parts.append(np.array([eos], width))
-                ids = np.concatenate(parts) if parts else np.zeros(0, width)
-                if len(ids):
-                    yield pa.record_batch({"part": pa.array([part], pa.int32()), "at": pa.array([at], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary())})
-                at += len(ids)
+                        ids = enc.encode_ordinary(text) if len(text) <= LONG_TEXT else bpe._worker(shared, p.vocabulary).encode(pa.array([text]))[0]
+                        held.append((h, h2, np.append(np.asarray(ids, width), np.array([eos], width))))
+                        size += len(held[-1][2])
+                if size > _HELD:
+                    yield pack(held)
+                    held, size = [], 0
+        if held:
+            yield pack(held)
+
+    return run
+
+
+def _ordered(width: str):
+    """A bucket's ids in the order of the hashes, and where they stand among those of the bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, hs, h2s, docs = 0, [], [], []
+        for batch in batches:
+            for k, h, h2, n, ids in zip(*(batch.column(c) for c in ("bucket", "h", "h2", "n", "ids"))):
+                part = k.as_py()
+                hs.append(packed.expand(h.as_buffer(), np.dtype("<u8")))
+                h2s.append(packed.expand(h2.as_buffer(), np.dtype("<u8")))
+                docs += np.split(packed.expand(ids.as_buffer(), np.dtype(width)), np.cumsum(packed.expand(n.as_buffer(), np.dtype("<u4")).astype(np.int64))[:-1])
+        if not docs:
+            return
+        order, at, row, size = np.lexsort((np.concatenate(h2s), np.concatenate(hs))), 0, [], 0
+        for i in order.tolist():
+            row.append(docs[i])
+            size += len(docs[i])
+            if size > _ROW:
+                yield pa.record_batch({"part": pa.array([part], pa.int32()), "at": pa.array([at], pa.int64()), "ids": pa.array([np.concatenate(row).tobytes()], pa.binary())})
+                row, at, size = [], at + size, 0
+        if row:
+            yield pa.record_batch({"part": pa.array([part], pa.int32()), "at": pa.array([at], pa.int64()), "ids": pa.array([np.concatenate(row).tobytes()], pa.binary())})
 
     return run
 
@@ -165,7 +210,11 @@ def shards(docs: DataFrame, params: MaterializeParams = MaterializeParams()) ->
     e = bpe.encoder(p.vocabulary)
     width = "<u2" if len(e.tokens) < 1 << 16 else "<u4"
     shared = spark.sparkContext.broadcast((e.tokens, e.table))  # as large as the vocabulary
-    stream = store.cut(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_tokens(shared, p, width), "part int, at bigint, ids binary"))
+    buckets = store.partitions(spark)
+    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hashed = named.select("text", F.xxhash64("doc_id", "text").alias("h"), F.xxhash64("text", "doc_id").alias("h2"))
+    sent = hashed.mapInArrow(_tokens(shared, p, width, buckets), "bucket int, h binary, h2 binary, n binary, ids binary")
+    stream = store.cut(store.by_bucket(sent).mapInArrow(_ordered(width), "part int, at bigint, ids binary"))
     step = np.dtype(width).itemsize
     sums = sorted((r.part, r.n) for r in stream.groupBy("part").agg(F.sum(F.octet_length("ids") / step).cast("bigint").alias("n")).collect())  # two numbers a partition
     base, total = {}, 0
@@ -174,7 +223,6 @@ def shards(docs: DataFrame, params: MaterializeParams = MaterializeParams()) ->
         total += n
     if not total:
         return spark.createDataFrame([], _SHARD)
-    buckets = store.partitions(spark)
     moved = stream.mapInArrow(_pieces(base, total, buckets, p, width), "bucket int, shard int, slot bigint, pos int, ids binary")
     return store.by_bucket(moved).sortWithinPartitions("shard", "slot", "pos").select("shard", "slot", "ids").mapInArrow(_assemble(p, width, len(e.tokens)), _SHARD)
 
