@@ -1,13 +1,18 @@
 """License scans by a trained paragraph classifier.
 
-Each line of a document is a paragraph. Softmax regression over hashed word 1-
+A paragraph is a line, or a part of up to ``max_lines`` lines of a run of lines
+without a blank one, as statements are wrapped in a file's header: of these the
+least ones that hold the share ``confirm`` of a template's word pairs, over the
+lines' ends too. Softmax regression over hashed word 1-
 to ``max_n``-grams tells licence families and an unknown class apart. It is
 trained on the templates below, varied by lost and added words, and for the
 unknown class on near misses and on at most ``max_unknown`` distinct lines of the corpus
 that resemble no template; a held-out part sets the temperature that calibrates
 the probabilities. A paragraph is reported for a family whose probability is
 ``threshold`` or more, if the family's nearest template confirms it: the share
-``confirm`` of the template's word pairs stands in the paragraph.
+``confirm`` of the template's word pairs stands in the paragraph. A part of
+several lines is reported under its first line, and not if a line or a better
+part that it overlaps is reported for the same family.
 
 Null and empty texts and lines without words have no finding. Rows with a null
 doc_id are reported under null. Repeated rows and lines are each judged. Lines
@@ -72,6 +77,7 @@ class LicenseParams:
     l2: float = 1e-6
     threshold: float = 0.6
     confirm: float = 0.6
+    max_lines: int = 12
     seed: int = 7
 
 
@@ -208,6 +214,68 @@ def train(docs: DataFrame, params: LicenseParams = LicenseParams()) -> LicenseMo
     return fit(data + [(s, len(TEMPLATES)) for s in (*unknown, *misses)], p)
 
 
+def least_windows(hits: list[tuple[int, int, int]], need: int, most: int) -> list[tuple[int, int]]:
+    """(first, last) of the parts of 2 to ``most`` lines that hold ``need`` different pairs and don't without their first or their last line, of (line of the first word, line of the second, pair)."""
+    ends: dict[int, list[tuple[int, int]]] = {}
+    for one, two, pair in hits:
+        ends.setdefault(two, []).append((one, pair))
+        ends.setdefault(one, [])
+    lines, out, count, lo = sorted(ends), [], {}, 0
+    within: dict[int, list[int]] = {n: [] for n in lines}  # pairs that are counted, by the line of their first word
+    for last in lines:
+        for one, pair in ends[last]:
+            if one >= lines[lo]:
+                count[pair] = count.get(pair, 0) + 1
+                within[one].append(pair)
+        first = None
+        while len(count) >= need:
+            first = lines[lo]
+            for pair in within[first]:
+                count[pair] -= 1
+                if not count[pair]:
+                    del count[pair]
+            lo += 1
+        if first is not None and 1 <= last - first < most:
+            out.append((first, last))
+    return out
+
+
+def wrapped(h: np.ndarray, row: np.ndarray, owner: np.ndarray, number: np.ndarray, m: LicenseModel) -> list[tuple[int, int, int]]:
+    """(family, first, last) of the parts of several lines, as positions of lines, that hold enough of a template's word pairs."""
+    lines = len(owner)
+    new = np.ones(lines, bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (number[1:] != number[:-1] + 1)
+    begin = np.flatnonzero(new)
+    para_row = np.append(row[begin], row[-1])
+    forms = [(f, t) for f, family in enumerate(m.pairs) for t in family]
+    key = np.concatenate([t for _, t in forms])
+    which = np.repeat(np.arange(len(forms)), [len(t) for _, t in forms])
+    order = np.argsort(key, kind="stable")
+    key, which = key[order], which[order]
+    g, at = tx.ngrams(h, para_row, 2)
+    lo, hi = np.searchsorted(key, g, "left"), np.searchsorted(key, g, "right")
+    some = np.flatnonzero(hi > lo)
+    if not len(some):
+        return []
+    count = (hi - lo)[some]
+    form = which[np.repeat(lo[some] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+    para = np.repeat(np.searchsorted(at, some, "right") - 1, count)
+    word = np.repeat(some - at[np.searchsorted(at, some, "right") - 1] + para_row[np.searchsorted(at, some, "right") - 1], count)
+    line = np.searchsorted(row, word, "right") - 1
+    then = np.searchsorted(row, np.minimum(word + 1, para_row[para + 1] - 1), "right") - 1
+    pair = np.repeat(g[some], count)
+    need = np.array([int(np.ceil(m.params.confirm * len(t) - 1e-9)) for _, t in forms])
+    order = np.lexsort((word, para, form))
+    form, para, line, then, pair = form[order], para[order], line[order], then[order], pair[order]
+    start, size = packed.runs(form * (len(begin) + 1) + para)
+    out = set()
+    for s, k in zip(start.tolist(), size.tolist()):
+        f = int(form[s])
+        if k >= need[f] and line[s] != then[s + k - 1]:
+            out |= {(forms[f][0], a, b) for a, b in least_windows(list(zip(line[s : s + k].tolist(), then[s : s + k].tolist(), pair[s : s + k].tolist())), int(need[f]), m.params.max_lines)}
+    return sorted(out)
+
+
 def findings(arr: pa.Array, m: LicenseModel) -> list[tuple[int, int, str, float, float]]:
     """(row, line number, family, probability, similarity) of a column's licence paragraphs."""
     h, row, owner, number = lines_of(arr)
@@ -221,6 +289,17 @@ def findings(arr: pa.Array, m: LicenseModel) -> list[tuple[int, int, str, float,
         near = coverage(word_pairs(h[row[r] : row[r + 1]]), m.pairs[c[r]])
         if near >= m.params.confirm:
             out.append((int(owner[r]), int(number[r]), m.families[c[r]], float(sure[r]), near))
+    parts = wrapped(h, row, owner, number, m)
+    if parts:
+        taken = {(r, n, f) for r, n, f, _, _ in out}
+        words = [h[row[a] : row[b + 1]] for _, a, b in parts]
+        prob = softmax(logits(np.concatenate(words), np.append(0, np.cumsum([len(w) for w in words])), m) / m.temperature)
+        sure = [(coverage(word_pairs(w), m.pairs[f]), float(x[f]), f, a, b) for (f, a, b), w, x in zip(parts, words, prob) if x[:-1].argmax() == f and x[f] >= m.params.threshold]
+        for near, x, f, a, b in sorted(sure, key=lambda v: (-v[0], -v[1], v[4] - v[3], v[3])):
+            at = {(int(owner[n]), int(number[n]), m.families[f]) for n in range(a, b + 1)}
+            if near >= m.params.confirm and not at & taken:
+                taken |= at
+                out.append((int(owner[a]), int(number[a]), m.families[f], x, near))
     return out
 
 
