@@ -50,6 +50,7 @@ def test_text_functions(spark):
     assert one(spark, T.ascii_only, "aéb") == "ab" and one(spark, T.code_token, " A/b.c d ") == "a_b_c_d"
     assert one(spark, T.sentences, "One. Two is 3! a. b? 9 end.") == ["One", "Two is 3! a. b?", "9 end"] or one(spark, T.sentences, "One. Two.") == ["One", "Two"]
     assert one(spark, T.stem, "birds") == "bird" and one(spark, T.stem, "walking") == "walk" and one(spark, T.stem, "runs") == "runs"
+    assert [one(spark, T.stem, w) for w in ("missiles", "countries", "sanction", "translated", "bring")] == ["missil", "country", "sanct", "translat", "bring"]
     assert one(spark, T.raw_tokens, "The_cat  is") == ["the", "cat", "is"] and one(spark, T.content_tokens, "The_cat  is a") == ["cat"]
     assert one(spark, lambda c: T.millis_to_iso(T.iso_to_millis(c)), "2024-01-02T03:04:05.678") == "2024-01-02T03:04:05.678"
     assert one(spark, lambda c: T.millis_to_iso(T.iso_to_millis(c)), "") == ""

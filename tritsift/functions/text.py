@@ -113,18 +113,27 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, "(^[ .,;\t\r\n]+)|([ .,;\t\r\n]+$)", "")), lambda s: s != "")
 
 
-_SUFFIXES = (("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("ements", "e"), ("ations", "ate"), ("ation", "ate"), ("ement", "e"), ("ingly", ""), ("ness", ""), ("ment", ""), ("ings", ""), ("ies", "y"), ("ing", ""), ("edly", ""), ("ed", ""), ("est", ""), ("er", ""), ("ly", ""), ("es", "e"), ("s", ""))
+#: Suffix and what takes its place, in the order in which they are tried.
+SUFFIXES = tuple(rule.split(">") for rule in "ies>y ves>f ing> tion>t sion>s ment> ness> able> ible> ated>at ized>iz ised>is ally> ous> ful> ive> ery> ed> er> ly> es> s>".split(" "))
 
 
 def stem(token: Column) -> Column:
     """The first suffix rule that fits and leaves three letters or more; tokens of up to four letters stay."""
     out = F.when(F.length(token) <= 4, token)
-    for suffix, to in _SUFFIXES:
-        cut = F.concat(F.regexp_replace(token, f"{suffix}$", ""), F.lit(to))
-        out = out.when(token.endswith(suffix) & (F.length(cut) >= 3), cut)
+    for suffix, to in SUFFIXES:
+        left = F.length(token) - len(suffix)
+        out = out.when(token.endswith(suffix) & (left + len(to) >= 3), F.concat(F.left(token, left), F.lit(to)))
     return out.otherwise(token)
 
 
+def role_tokens(subject: Column, relation: Column, obj: Column, text: Column) -> Column:
+    """struct<s, r, o, partial>: content tokens of the three roles, and the letters of those that have any. The text fills o only if the object is null or empty."""
+    tokens = lambda c: F.coalesce(content_tokens(c), F.array().cast("array<string>"))
+    roles = {"s": tokens(subject), "r": tokens(relation), "o": tokens(F.coalesce(F.nullif(obj, F.lit("")), text))}
+    partial = F.array_compact(F.array(*(F.when(F.size(c) > 0, n) for n, c in roles.items())))
+    return F.struct(*(c.alias(n) for n, c in roles.items()), partial.alias("partial"))
+
+
 def bucket(text: Column, n: int) -> Column:
     """Content hash modulo n, the same in any engine that has md5."""
     return F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint"), F.lit(n)).cast("int")

@@ -62,3 +62,20 @@ def recommend(sweep: list[tuple[int, float]], n: int, tolerance: float = 0.05, h
     if n >= 50 and top - min(r for _, r in sweep) > 1.5 * noise:
         return "confident", min(d for d, r in sweep if r == top)
     return "ambiguous", G.round_up(flat[0])
+
+
+def sorted_index(rows: DataFrame, key: str, value: str, q: float) -> DataFrame:
+    """(key, n, at_q): the value at place round(q * (n - 1)) of the key's sorted values, a half going to the even place. Counted by value first, so that a window has a row for each distinct value only."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
+    of = Window.partitionBy(key)
+    cum = counts.withColumn("n", F.sum("c").over(of)).withColumn("cum", F.sum("c").over(of.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    return cum.where(F.col("cum") > F.bround(F.lit(q) * (F.col("n") - 1), 0)).groupBy(key).agg(F.max("n").alias("n"), F.min(value).alias("at_q"))
+
+
+def tier_recall(hits: DataFrame, gold: DataFrame, tiers: DataFrame, query: str, key: str) -> DataFrame:
+    """(tier, n, recall, worst, mean): the share of queries that found any of their gold ids, by the tier of the first of these ("unknown" without one), beside the least and the mean share of all tiers."""
+    found = gold.join(hits.select(query, key, F.lit(1).alias("hit")), [query, key], "left")
+    each = found.groupBy(query).agg(F.min(key).alias(key), F.max(F.coalesce("hit", F.lit(0))).alias("hit"))
+    per = each.join(tiers.select(key, "tier"), key, "left").groupBy(F.coalesce("tier", F.lit("unknown")).alias("tier")).agg(F.count("*").alias("n"), F.avg("hit").alias("recall"))
+    of = Window.partitionBy(F.lit(0))  # a row for each tier
+    return per.select("tier", "n", F.round("recall", 6).alias("recall"), F.round(F.min("recall").over(of), 6).alias("worst"), F.round(F.avg("recall").over(of), 6).alias("mean"))

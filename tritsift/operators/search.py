@@ -139,3 +139,24 @@ def expand(query_tokens: DataFrame, graph: DataFrame, query: str, n: int = 3) ->
     by = Window.partitionBy("token").orderBy(F.desc("weight"), "other")
     near = graph.withColumn("__r", F.row_number().over(by)).where(F.col("__r") <= n).select("token", "other")
     return query_tokens.select(query, "token").union(query_tokens.join(near, "token").select(query, F.col("other").alias("token"))).distinct()
+
+
+def in_set(rows: DataFrame, column: str, wanted: tuple = ()) -> DataFrame:
+    """Rows of the wanted shards or tiers; all of them if none is named. A filter on a partition column, which prunes folders."""
+    return rows.where(F.col(column).isin(*wanted)) if wanted else rows
+
+
+def best_overall(hits: DataFrame, k: int, score: str, *ties: str) -> DataFrame:
+    """The k best hits of all queries together: a top k of each task, then of these."""
+    return hits.orderBy(F.desc(score), *ties).limit(k)
+
+
+def without_inputs(hits: DataFrame, inputs: DataFrame, query: str, key: str, score: str, k: int) -> DataFrame:
+    """The k best hits, ranked anew, that aren't among the query's own inputs (query, key). The hits should hold as many more as a query has inputs."""
+    return V.top_k(hits.drop("rank").join(inputs.select(query, key), [query, key], "left_anti"), query, score, key, k)
+
+
+def boosted(weights: DataFrame, terms: DataFrame, by: float = 3.0) -> DataFrame:
+    """(token, idf) with the weight of the tokens that stand in ``terms`` multiplied."""
+    named = terms.select("token").distinct().withColumn("__t", F.lit(True))
+    return weights.join(named, "token", "left").withColumn("idf", F.when(F.col("__t"), F.col("idf") * by).otherwise(F.col("idf"))).drop("__t")

@@ -62,3 +62,30 @@ def any_tag(text: Column, tags: tuple[str, ...]) -> Column:
     for t in tags:
         out = out | F.contains(text, F.lit(t))
     return out
+
+
+def passthrough(rows: DataFrame, named: list[str]) -> DataFrame:
+    """The named columns, and all others that aren't null as one map of strings."""
+    others = [c for c in rows.columns if c not in named]
+    pairs = F.create_map(*(x for c in others for x in (F.lit(c), F.col(f"`{c}`").cast("string")))) if others else F.create_map().cast("map<string,string>")
+    return rows.select(*(F.col(f"`{c}`") for c in named), F.map_filter(pairs, lambda _, v: v.isNotNull()).alias("rest"))
+
+
+def normalize_label(domain: Column, entity: Column, aliases: dict[str, dict[str, str]]) -> Column:
+    """A label as its domain writes it. genes and medical: by alias, then by alias without a kind's suffix or a plural s; graph: by alias of the trimmed label; all else in lower case with underscores. Null and empty labels stay.
+
+    ``aliases`` holds a short table for each domain; it becomes part of the expression, so larger ones belong in a join before.
+    """
+
+    def known(name: str, key: Column) -> Column:
+        table = aliases.get(name)
+        return F.try_element_at(F.create_map(*(F.lit(x) for pair in sorted(table.items()) for x in pair)), key) if table else F.lit(None).cast("string")
+
+    plain = F.replace(F.lower(entity), F.lit(" "), F.lit("_"))
+    tidy = F.replace(F.lower(F.trim(entity)), F.lit(" "), F.lit("_"))
+    gene = F.replace(tidy, F.lit("-"), F.lit("_"))
+    term = F.regexp_replace(tidy, "[^a-z0-9_]", "")
+    by_gene = F.coalesce(known("genes", gene), known("genes", F.regexp_replace(gene, "_(human|mouse|protein|gene)$", "")), plain)
+    by_term = F.coalesce(known("medical", term), F.when(term.endswith("s"), known("medical", F.left(term, F.length(term) - 1))), F.nullif(term, F.lit("")), entity)
+    by_graph = F.coalesce(known("graph", F.trim(entity)), plain)
+    return F.when(entity == "", entity).when(domain == "genes", by_gene).when(domain == "medical", by_term).when(domain == "graph", by_graph).otherwise(plain)

@@ -522,4 +522,4 @@ def compaction_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().groupBy((F.col("l_orderkey") % 10).alias("segment")).agg(F.count("*").alias("n"), F.sum("l_partkey").alias("check_sum"))
 
 
-from tritsift.plans import more  # noqa: E402, F401  registers its queries with this module's
+from tritsift.plans import further, more  # noqa: E402, F401  register their queries with this module's
