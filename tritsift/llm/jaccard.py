@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tritsift.llm import graph, packed, store
+from tritsift.llm import graph, overlap, packed, store
 from tritsift.llm import text as tx
 
 _U = np.uint64
@@ -354,6 +354,63 @@ def near_groups(docs: DataFrame, params: JaccardParams = JaccardParams()) -> Dat
     return every.withColumn("keep", F.col("doc_id") == F.col("group_id"))
 
 
+def _members(docs: DataFrame, p: JaccardParams) -> DataFrame:
+    """(doc_id, cid) of the documents' sets, each once; ``cid`` tells a set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in tx.slices(batch):
+                cid, size, _, _ = _set_ids(piece.column("text"), p)
+                yield pa.record_batch({"doc_id": piece.column("doc_id"), "cid": pa.array(cid.view(np.int64))}).filter(pa.array(size > 0))
+
+    return store.cut(_docs(docs).mapInArrow(run, "doc_id bigint, cid bigint").distinct())
+
+
+def _set_ids(arr: pa.Array, p: JaccardParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's set as a hash of its n-grams, their number, and the n-grams and their rows."""
+    g, owner = grams(arr, p.n)
+    size = np.bincount(owner, minlength=len(arr))
+    whole = np.zeros(len(arr), _U)
+    start, _ = packed.runs(owner)
+    if len(start):
+        whole[owner[start]] = np.add.reduceat(tx.mix(g), start)
+    return tx.mix(whole + size.astype(_U)), size, g, owner
+
+
+def _set_pairs(docs: DataFrame, p: JaccardParams) -> DataFrame:
+    """(u, v, jaccard) of all pairs of different sets that are alike."""
+
+    def make(batch: pa.RecordBatch) -> packed.Arrays:
+        cid, size, g, owner = _set_ids(batch.column("text"), p)
+        return overlap.gram_records(g, owner, cid, size)
+
+    return overlap.join(_docs(docs), make, p.threshold)
+
+
+def _grouped(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, group_id, keep) of the documents that a copy or a pair links to another one."""
+    rep = members.groupBy("cid").agg(F.min("doc_id").alias("rep"))
+    of = lambda x: rep.select(F.col("cid").alias(x), F.col("rep").alias(f"r{x}"))
+    linked = pairs.join(of("u"), "u").join(of("v"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+    copies = members.join(rep, "cid").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    star = graph.components(linked.union(copies))
+    every = star.select(F.col("u").alias("doc_id"), F.col("v").alias("group_id")).union(star.select(F.col("v").alias("doc_id"), F.col("v").alias("group_id")).distinct())
+    return every.withColumn("keep", F.col("doc_id") == F.col("group_id"))
+
+
+def near_links(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
+    """(doc_id, group_id, keep, links): the groups of all pairs, and how many documents each is linked to, copies among them. Of a document that stands with several texts those links count that its sets have to another document's."""
+    members, pairs = _members(docs, params), _set_pairs(docs, params)
+    many = members.groupBy("cid").agg(F.count("*").alias("many"))
+    both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    near = both.join(many.withColumnRenamed("cid", "v"), "v").groupBy(F.col("u").alias("cid")).agg(F.sum("many").alias("near"))
+    linked = members.join(many, "cid").join(near, "cid", "left").select("doc_id", (F.col("many") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    several = members.join(members.groupBy("doc_id").agg(F.count("*").alias("sets")).where("sets > 1"), "doc_id")
+    own = several.select("doc_id", F.col("cid").alias("u")).join(both, "u").join(several.select(F.col("doc_id").alias("d"), F.col("cid").alias("v")), "v").where("doc_id = d").select("doc_id", F.lit(-1).cast("bigint").alias("links"))
+    links = linked.where("links > 0").union(own).groupBy("doc_id").agg(F.sum("links").alias("links"))
+    return _grouped(members, pairs).join(links, "doc_id").select("doc_id", "group_id", "keep", "links")
+
+
 def near_dedup(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
     """The documents without the near copies; of each group the one with the least doc_id stays."""
     name = store.fresh(docs, "gone")[0]
@@ -366,8 +423,8 @@ def near_dedup(docs: DataFrame, params: JaccardParams = JaccardParams()) -> Data
 WORDS_SQL = r"regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+')"
 
 
-def near_groups_sql(params: JaccardParams = JaccardParams(), table: str = "documents") -> str:
-    """The groups of all pairs, each compared, in DuckDB's SQL."""
+def near_links_sql(params: JaccardParams = JaccardParams(), table: str = "documents") -> str:
+    """The groups of all pairs, each compared, and each document's number of links, in DuckDB's SQL."""
     n, t = params.n, params.threshold
     gram = " || ' ' || ".join(f"ws[i + {k}]" for k in range(n))
     return f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS_SQL} AS ws FROM {table} WHERE doc_id IS NOT NULL),
@@ -376,4 +433,4 @@ size AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 both_ AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
 e AS (SELECT u, v FROM both_ JOIN size x ON x.doc_id = u JOIN size y ON y.doc_id = v WHERE c >= {t} * (x.n + y.n - c)),
 r(u, v) AS (SELECT DISTINCT u, u FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
-SELECT u AS doc_id, min(v) AS group_id, u = min(v) AS keep FROM r GROUP BY u"""
+SELECT r.u AS doc_id, min(r.v) AS group_id, r.u = min(r.v) AS keep, any_value(l.links) AS links FROM r JOIN (SELECT u, count(*) AS links FROM e GROUP BY u) l ON l.u = r.u GROUP BY r.u"""
