@@ -54,3 +54,8 @@ def test_links_of_a_repeated_id(spark):
     texts = [(1, a), (1, b), (2, a), (2, a), (3, "something quite different from all others")]
     got = {tuple(x) for x in jaccard.near_links(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
     assert got == {(1, 1, True, 2), (2, 1, False, 2)}
+
+
+def test_dedup_at_the_threshold(spark):
+    left = jaccard.near_dedup(spark.createDataFrame(at_the_threshold(groups=2500), "doc_id bigint, text string"))
+    assert {r.doc_id for r in left.collect()} == set(range(0, 5000, 2))

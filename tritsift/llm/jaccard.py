@@ -1,31 +1,14 @@
-"""N-gram Jaccard join over parity sketches.
-
-A document's set is that of its distinct word n-grams. For sets of a size band
-the symmetric difference is at most d where the Jaccard similarity is at least
-t; the n-grams are dealt to d + 1 blocks by hash, of which one must then hold
-the same ones in both (pigeonhole). A block is a parity sketch: the XOR of its
-n-grams' 64-bit hashes. Sets take part in their own band and the next, which
-covers all sizes that t allows.
-
-At the threshold itself a share of about 1/e of the blocks is expected to be
-equal, and more above it. So a set joins on the first ``blocks`` blocks that
-its band has; bands of at most eight blocks use them all, six times over with
-other hashes. Blocks in which nothing stands carry no evidence and aren't
-joined. At the threshold of 0.5 a block is equal and not empty with a
-probability of 0.23, so 20 find a pair with 0.995, and a pair above the
-threshold more surely.
-
-Documents that meet in a bucket are compared by a second sketch: 512 parity bits
-of the set, or of a sample by hash of which about 400 n-grams stand in the
-band's largest set. Sketches that differ in no more bits than three standard
-deviations above what the threshold allows make a link. In buckets of over 16
-documents those within the like bound of a similarity of ``close`` of an earlier
-one are linked to it and aren't held against later ones; of the links of a
-document into one cluster of sure links the nearest is enough. Links are
-verified by the exact Jaccard similarity of the sets, each document's closest
-first and then those that would still join two components, and the components of
-the verified ones are the groups. ``jaccard_pairs`` returns instead all pairs
-that share a block, verified.
+"""N-gram Jaccard join.
+
+A document's set is that of its distinct word n-grams. Groups, links and pairs
+come from ``overlap``, which finds all pairs of different sets at least
+``threshold`` alike. ``near_groups`` verifies of them what connects the groups,
+``near_links`` and ``jaccard_pairs`` all; copies aren't expanded into pairs but
+in the last.
+
+The parity sketches (``block_keys``, ``sketches``, ``_links``) are an approximate
+join in size bands, which loses some links at the threshold and in large
+buckets. No query uses it any more.
 
 Null or empty text has an empty set, which is like no other. A text of fewer
 words than n has one n-gram of all of them. Rows with a null doc_id are in no
@@ -137,48 +120,6 @@ def most_bits(total: np.ndarray, power: np.ndarray, t: float, sigmas: float = 3.
     return np.where(power > 0, np.inf, np.floor(d + 1e-9)).clip(max=_BITS * p + sigmas * spread + (1 if sigmas else 0))
 
 
-def _describe(p: JaccardParams):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in tx.slices(batch):
-                k = piece.num_rows
-                g, owner = grams(piece.column("text"), p.n)
-                size = np.bincount(owner, minlength=k)
-                keys, row, step = block_keys(g, owner, size, p)
-                order = np.lexsort((step, row))
-                keys, ends = keys[order], np.searchsorted(row[order], np.arange(k + 1))
-                own = np.bincount(row[step == 0], minlength=k)
-                band = band_of(size, p.threshold)
-                whole = np.zeros((2, k), _U)
-                start, _ = packed.runs(owner)
-                if len(start):
-                    whole[:, owner[start]] = np.add.reduceat(tx.mix(g), start), np.add.reduceat(tx.mix(g ^ _U(0x2545F4914F6CDD1D)), start)
-                whole = tx.mix(whole + size.astype(_U))
-                sk = np.concatenate([sketches(g, owner, sampling(band + i, p.threshold)) for i in (0, 1)], axis=1)
-                used = pa.array(size > 0)
-                yield pa.record_batch({"doc_id": piece.column("doc_id"), "n": pa.array(size), "own": pa.array(own), "whole": pa.array([x.tobytes() for x in np.ascontiguousarray(whole.T)], pa.binary()), "sketch": pa.array([r.tobytes() for r in sk], pa.binary()), "keys": pa.array([keys[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())}).filter(used)
-
-    return run
-
-
-def _records(p: JaccardParams):
-    def make(batch: pa.RecordBatch) -> packed.Arrays:
-        blobs = batch.column("keys").to_pylist()
-        count = np.array([len(b) // 8 for b in blobs], np.int64)
-        row = np.repeat(np.arange(len(blobs)), count)
-        n = batch.column("n").to_numpy()
-        step = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) >= batch.column("own").to_numpy()[row]).astype(np.int64)
-        sk = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), _U).reshape(-1, 2, _BITS // 64)[row, step]
-        power = sampling(band_of(n, p.threshold)[row] + step, p.threshold)
-        return {"key": np.frombuffer(b"".join(blobs), _U), "id": batch.column("doc_id").to_numpy()[row], "n": n[row], "power": power} | {f"s{i}": sk[:, i] for i in range(_BITS // 64)}
-
-    return make
-
-
-_FIELDS = {"key": "<u8", "id": "<i8", "n": "<i4", "power": "u1"} | {f"s{i}": "<u8" for i in range(_BITS // 64)}
-_PAIRS = "u bigint, v bigint"
-
-
 def _near(a: packed.Arrays, i: np.ndarray, j: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
     """Whether rows i and j may be alike, and the bits in which their sketches differ."""
     bits = sum(np.bitwise_count(a[f"s{k}"][i] ^ a[f"s{k}"][j]).astype(np.int64) for k in range(_BITS // 64))
@@ -252,108 +193,10 @@ def _links(p: JaccardParams):
     return run
 
 
-def _all_pairs(t: float):
-    def run(a: packed.Arrays) -> Iterator[pa.RecordBatch]:
-        a, start, length = _sorted(a)
-        at = np.arange(len(a["id"])) - np.repeat(start, length)
-        for lag in range(1, int(length.max()) if len(length) else 1):
-            i = np.flatnonzero(at >= lag)
-            i = i[_near(a, i, i - lag, t)[0]]
-            if len(i):
-                us, vs = a["id"][i], a["id"][i - lag]
-                yield pa.record_batch({"u": pa.array(np.maximum(us, vs)), "v": pa.array(np.minimum(us, vs))})
-
-    return run
-
-
-def _sets(p: JaccardParams):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in tx.slices(batch):
-                g, owner = grams(piece.column("text"), p.n)
-                ends = np.searchsorted(owner, np.arange(piece.num_rows + 1))
-                yield pa.record_batch({"id": piece.column("doc_id"), "s": pa.array([g[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())})
-
-    return run
-
-
-def _verify(t: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for a, b in zip(batch.column("su"), batch.column("sv")):
-                x, y = np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8")
-                both = np.concatenate([x, y])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                out.append(same / (len(both) - same))
-            j = np.array(out)
-            yield pa.record_batch({"u": batch.column("u"), "v": batch.column("v"), "jaccard": pa.array(j)}).filter(pa.array(j >= t - 1e-12))
-
-    return run
-
-
 def _docs(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
 
-def _described(docs: DataFrame, p: JaccardParams) -> DataFrame:
-    return store.cut(_docs(docs).mapInArrow(_describe(p), "doc_id bigint, n bigint, own bigint, whole binary, sketch binary, keys binary"))
-
-
-def _classes(seen: DataFrame) -> DataFrame:
-    """One document, the least, of each set that stands."""
-    return seen.groupBy("whole").agg(F.min_by(F.struct("doc_id", "n", "own", "sketch", "keys"), "doc_id").alias("r")).select("whole", "r.*")
-
-
-def _sets_of(docs: DataFrame, pairs: DataFrame, p: JaccardParams) -> DataFrame:
-    ids = store.cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-    sets = store.restrict(_docs(docs), ids, "doc_id").mapInArrow(_sets(p), "id bigint, s binary")
-    return store.cut(sets.dropDuplicates(["id", "s"]))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, p: JaccardParams) -> DataFrame:
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v")
-    return both.select("u", "v", "su", "sv").mapInArrow(_verify(p.threshold), "u bigint, v bigint, jaccard double")
-
-
-def jaccard_pairs(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
-    """(u, v, jaccard), u > v: all pairs of documents at least ``threshold`` alike. Their number grows with the square of a group's size."""
-    seen = _described(docs, params)
-    reps = store.cut(_classes(seen))
-    found = packed.exchange(reps, _records(params), _FIELDS, _all_pairs(params.threshold), _PAIRS, None)
-    found = store.cut(found.distinct())
-    pairs = _verified(found, _sets_of(docs, found, params), params).groupBy("u", "v").agg(F.max("jaccard").alias("jaccard"))
-    member = seen.select("doc_id", "whole").distinct().join(reps.select("whole", F.col("doc_id").alias("rep")), "whole").select("doc_id", "rep")
-    pairs = pairs.union(reps.select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v"), F.lit(1.0).alias("jaccard")))
-    a, b = member.select(F.col("doc_id").alias("a"), F.col("rep").alias("u")), member.select(F.col("doc_id").alias("b"), F.col("rep").alias("v"))
-    return pairs.join(a, "u").join(b, "v").where("a <> b").groupBy(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).agg(F.max("jaccard").alias("jaccard"))
-
-
-def _closest_first(found: DataFrame, sets: DataFrame, p: JaccardParams) -> DataFrame:
-    """Verified links that connect what all of them would: of each document its closest, then those that still join different components."""
-    closest = found.groupBy("u").agg(F.min_by("v", F.struct("bits", "v")).alias("v"))
-    one = store.cut(_verified(closest, sets, p).select("u", "v"))
-    root = graph.components(one)
-    of = lambda x: root.select(F.col("u").alias(x), F.col("v").alias(f"r{x}"))
-    rest = found.join(of("u"), "u", "left").join(of("v"), "v", "left").where("coalesce(ru, u) <> coalesce(rv, v)").select("u", "v")
-    return one.union(_verified(store.cut(rest), sets, p).select("u", "v"))
-
-
-def near_groups(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
-    """(doc_id, group_id, keep) of the documents that have a near copy: group_id is the group's least doc_id, which is kept."""
-    seen = _described(docs, params)
-    reps = store.cut(_classes(seen))
-    found = packed.exchange(reps, _records(params), _FIELDS, _links(params), _PAIRS + ", bits bigint", None)
-    found = store.cut(found.groupBy("u", "v").agg(F.min("bits").alias("bits")))
-    sets = _sets_of(docs, found, params)
-    linked = _closest_first(found, sets, params)
-    copies = seen.select("doc_id", "whole").distinct().join(reps.select("whole", F.col("doc_id").alias("rep")), "whole").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    star = graph.components(linked.union(copies))
-    every = star.select(F.col("u").alias("doc_id"), F.col("v").alias("group_id")).union(star.select(F.col("v").alias("doc_id"), F.col("v").alias("group_id")).distinct())
-    return every.withColumn("keep", F.col("doc_id") == F.col("group_id"))
-
-
 def _members(docs: DataFrame, p: JaccardParams) -> DataFrame:
     """(doc_id, cid) of the documents' sets, each once; ``cid`` tells a set."""
 
@@ -377,14 +220,12 @@ def _set_ids(arr: pa.Array, p: JaccardParams) -> tuple[np.ndarray, np.ndarray, n
     return tx.mix(whole + size.astype(_U)), size, g, owner
 
 
-def _set_pairs(docs: DataFrame, p: JaccardParams) -> DataFrame:
-    """(u, v, jaccard) of all pairs of different sets that are alike."""
-
+def _left_sets(docs: DataFrame, p: JaccardParams) -> DataFrame:
     def make(batch: pa.RecordBatch) -> packed.Arrays:
         cid, size, g, owner = _set_ids(batch.column("text"), p)
         return overlap.gram_records(g, owner, cid, size)
 
-    return overlap.join(_docs(docs), make, p.threshold)
+    return overlap.left_sets(_docs(docs), make, p.threshold)
 
 
 def _grouped(members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -398,9 +239,14 @@ def _grouped(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return every.withColumn("keep", F.col("doc_id") == F.col("group_id"))
 
 
+def near_groups(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
+    """(doc_id, group_id, keep) of the documents that have a near copy: group_id is the group's least doc_id, which is kept."""
+    return _grouped(_members(docs, params), overlap.forest(_left_sets(docs, params), params.threshold))
+
+
 def near_links(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
     """(doc_id, group_id, keep, links): the groups of all pairs, and how many documents each is linked to, copies among them. Of a document that stands with several texts those links count that its sets have to another document's."""
-    members, pairs = _members(docs, params), _set_pairs(docs, params)
+    members, pairs = _members(docs, params), overlap.pairs(_left_sets(docs, params), params.threshold)
     many = members.groupBy("cid").agg(F.count("*").alias("many"))
     both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both.join(many.withColumnRenamed("cid", "v"), "v").groupBy(F.col("u").alias("cid")).agg(F.sum("many").alias("near"))
@@ -411,6 +257,14 @@ def near_links(docs: DataFrame, params: JaccardParams = JaccardParams()) -> Data
     return _grouped(members, pairs).join(links, "doc_id").select("doc_id", "group_id", "keep", "links")
 
 
+def jaccard_pairs(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
+    """(u, v, jaccard), u > v: all pairs of documents at least ``threshold`` alike. Their number grows with the square of a group's size."""
+    member, found = _members(docs, params), overlap.pairs(_left_sets(docs, params), params.threshold)
+    found = found.union(member.select(F.col("cid").alias("u"), F.col("cid").alias("v"), F.lit(1.0).alias("jaccard")).distinct())
+    a, b = member.select(F.col("doc_id").alias("a"), F.col("cid").alias("u")), member.select(F.col("doc_id").alias("b"), F.col("cid").alias("v"))
+    return found.join(a, "u").join(b, "v").where("a <> b").groupBy(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).agg(F.max("jaccard").alias("jaccard"))
+
+
 def near_dedup(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
     """The documents without the near copies; of each group the one with the least doc_id stays."""
     name = store.fresh(docs, "gone")[0]

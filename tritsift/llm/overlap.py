@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tritsift.llm import packed, store
+from tritsift.llm import graph, packed, store
 from tritsift.llm import text as tx
 
 _U = np.uint64
@@ -129,6 +129,7 @@ def _sets(t: float):
 
 #: A prefix token's record: ``left`` is how many of the set's tokens stand from it on.
 _PREFIX = {"token": "<u8", "cid": "<u8", "n": "<i4", "left": "<i4"}
+_GROUPED = _PREFIX | {"label": "<i8"}
 _FOUND = {"u": "<u8", "v": "<u8"}
 
 
@@ -141,18 +142,50 @@ def _prefix_records(t: float):
         total = count - 1 + np.ceil(t * n - _EPS).astype(np.int64)
         token = np.concatenate([np.zeros(0, _U), *each])
         left = total[row] - (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
-        return {"key": tx.mix(token), "token": token, "cid": batch.column("cid").to_numpy().view(_U)[row], "n": n[row], "left": left}
+        out = {"key": tx.mix(token), "token": token, "cid": batch.column("cid").to_numpy().view(_U)[row], "n": n[row], "left": left}
+        return out | ({"label": batch.column("label").to_numpy()[row]} if "label" in batch.schema.names else {})
 
     return make
 
 
+def _fit(n: np.ndarray, left: np.ndarray, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
+    """Whether two sets that meet at a token may be alike, if it is the first that they share."""
+    x, y = n[i], n[j]
+    return (np.minimum(x, y) >= t * np.maximum(x, y) - _EPS) & (np.minimum(left[i], left[j]) >= t / (1 + t) * (x + y) - _EPS)
+
+
+def _stars(t: float):
+    """Each set of a bucket with the bucket's first one: not all pairs, but linear in the bucket."""
+
+    def run(a: packed.Arrays) -> Iterator[pa.RecordBatch]:
+        ids, doc = np.unique(a["cid"], return_inverse=True)
+        order = np.lexsort((doc, a["token"]))
+        doc, n, left = doc[order], a["n"][order].astype(np.int64), a["left"][order]
+        start, length = packed.runs(a["token"][order])
+        hub = np.repeat(start, length)
+        i = np.flatnonzero(np.arange(len(hub)) > hub)
+        i = i[_fit(n, left, i, hub[i], t)]
+        if len(i):
+            code = np.unique(doc[i] * len(ids) + doc[hub[i]])
+            yield _pack({"u": ids[code // len(ids)], "v": ids[code % len(ids)]})
+
+    return run
+
+
 def _candidates(t: float):
+    """All pairs of a bucket that may be alike; of sets with labels those whose labels differ."""
+
     def run(a: packed.Arrays) -> Iterator[pa.RecordBatch]:
         ids, doc = np.unique(a["cid"], return_inverse=True)
         order = np.lexsort((doc, a["token"]))
-        token, doc, n, left = a["token"][order], doc[order], a["n"][order].astype(np.int64), a["left"][order]
-        start, length = packed.runs(token)
-        at = np.arange(len(token)) - np.repeat(start, length)
+        doc, n, left = doc[order], a["n"][order].astype(np.int64), a["left"][order]
+        start, length = packed.runs(a["token"][order])
+        label = a["label"][order] if "label" in a else None
+        if label is not None and len(start):  # buckets of one label have nothing to give
+            mixed = np.repeat(np.minimum.reduceat(label, start) < np.maximum.reduceat(label, start), length)
+            doc, n, left, label = doc[mixed], n[mixed], left[mixed], label[mixed]
+            start, length = packed.runs(a["token"][order][mixed])
+        at = np.arange(len(doc)) - np.repeat(start, length)
         held: list[np.ndarray] = []
         size, lag, i = 0, 1, np.flatnonzero(at >= 1)
 
@@ -162,8 +195,9 @@ def _candidates(t: float):
 
         while len(i):
             j = i - lag
-            x, y = n[i], n[j]
-            ok = (np.minimum(x, y) >= t * np.maximum(x, y) - _EPS) & (np.minimum(left[i], left[j]) >= t / (1 + t) * (x + y) - _EPS)
+            ok = _fit(n, left, i, j, t)
+            if label is not None:
+                ok &= label[i] != label[j]
             if ok.any():
                 held.append(np.unique(doc[i[ok]] * len(ids) + doc[j[ok]]))
                 size += len(held[-1])
@@ -212,21 +246,42 @@ def _alike(t: float):
     return run
 
 
-def join(docs: DataFrame, make, t: float) -> DataFrame:
-    """(u, v, jaccard): every pair of different sets that are t alike, once. ``make`` gives the records of a batch of docs as ``gram_records`` does."""
+def left_sets(docs: DataFrame, make, t: float) -> DataFrame:
+    """(cid, n, tokens, prefix) of the sets that may be alike to others. ``make`` gives the records of a batch of docs as ``gram_records`` does."""
     fields = {"lo": "<u4", "mid": "<u2", "cid": "<u8", "n": "<i4"}
     by = lambda column: lambda batch: {"key": tx.mix((a := _unpack(batch, _GRAM))[column]), **a}
     ranked = lambda batch: {"key": tx.mix((a := _unpack(batch, _RANKED))["cid"]), **a}
     some = packed.exchange(docs, make, fields, _number, _schema(_GRAM))
     alive = packed.exchange(some, by("cid"), _GRAM, _alive(t), _schema(_GRAM), None)
     again = packed.exchange(alive, by("token"), _GRAM, _recount, _schema(_RANKED), None)
-    sets = store.cut(packed.exchange(again, ranked, _RANKED, _sets(t), _SET, None))
-    met = packed.exchange(sets.select("cid", "n", "prefix"), _prefix_records(t), _PREFIX, _candidates(t), _schema(_FOUND), None)
+    return store.cut(packed.exchange(again, ranked, _RANKED, _sets(t), _SET, None))
+
+
+def _verified(met: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     found = packed.exchange(met, _pair_records, _FOUND, _once, "u bigint, v bigint", None)
     side = lambda x: sets.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
     return store.cut(found.join(side("u"), "u").join(side("v"), "v").mapInArrow(_alike(t), "u bigint, v bigint, jaccard double"))
 
 
+def pairs(sets: DataFrame, t: float) -> DataFrame:
+    """(u, v, jaccard): every pair of different sets that are t alike, once."""
+    return _verified(packed.exchange(sets.select("cid", "n", "prefix"), _prefix_records(t), _PREFIX, _candidates(t), _schema(_FOUND), None), sets, t)
+
+
+def forest(sets: DataFrame, t: float) -> DataFrame:
+    """(u, v, jaccard): links that connect all that ``pairs`` connects, not each of them.
+
+    Each set is held against the first one of its buckets; then all candidates
+    are whose sets those links don't connect. So no pair is left out but those
+    that are connected already, and a cluster's links grow with its sets.
+    """
+    plain = sets.select("cid", "n", "prefix")
+    one = _verified(packed.exchange(plain, _prefix_records(t), _PREFIX, _stars(t), _schema(_FOUND), None), sets, t)
+    root = graph.components(one.select("u", "v")).select(F.col("u").alias("cid"), F.col("v").alias("root"))
+    labelled = plain.join(root, "cid", "left").select("cid", "n", "prefix", F.coalesce("root", "cid").alias("label"))
+    return one.union(_verified(packed.exchange(labelled, _prefix_records(t), _GROUPED, _candidates(t), _schema(_FOUND), None), sets, t))
+
+
 def gram_records(g: np.ndarray, owner: np.ndarray, cid: np.ndarray, size: np.ndarray) -> packed.Arrays:
     """Records of n-grams and the rows that hold them, of sets ``cid`` of ``size`` n-grams."""
     return {"key": g, "lo": (g & _U(0xFFFFFFFF)).astype(np.uint32), "mid": (g >> _U(32) & _U(0xFFFF)).astype(np.uint16), "cid": cid[owner], "n": size[owner].astype(np.int32)}
