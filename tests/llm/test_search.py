@@ -252,3 +252,20 @@ def test_shards_share_their_statistics(spark):
         assert (stats.pieces, round(stats.mean, 9)) == (whole.pieces, round(whole.mean, 9))
         assert stats.df.tolist() == whole.df[np.searchsorted(whole.terms, stats.terms)].tolist()
     assert seen == bench.count()
+
+
+def test_lookups_of_terms_and_postings(monkeypatch):
+    """Terms of alike high bits and a table or a search of the postings give the same."""
+    r = np.random.default_rng(12)
+    terms = np.unique(np.concatenate([r.integers(0, 1 << 20, 50, dtype=np.uint64), r.integers(0, 1 << 64, 500, dtype=np.uint64)]))
+    cell = np.sort(r.choice(len(terms) * 7, 900, replace=False))
+    at = np.searchsorted(cell // 7, np.arange(len(terms) + 1))
+    make = lambda: decontaminate.Index(terms, None, at, cell % 7, None, None, None, None, None, 7)
+    words = np.concatenate([terms, terms + np.uint64(1), r.integers(0, 1 << 64, 300, dtype=np.uint64)])
+    t, known = decontaminate._terms(make(), words)
+    assert known.tolist() == np.isin(words, terms).tolist() and (terms[t[known]] == words[known]).all()
+    flat = np.arange(len(terms) * 7)
+    one = decontaminate._postings(make(), flat)
+    monkeypatch.setattr(decontaminate, "_DENSE", 0)
+    two = decontaminate._postings(make(), flat)
+    assert (one[1] == two[1]).all() and (one[0][one[1]] == two[0][two[1]]).all() and one[1].sum() == 900

@@ -152,12 +152,22 @@ def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + first[owner]
 
 
+def _totals(key: np.ndarray, weight: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys below ``size`` that stand, in order, and the sum of each one's weights, which are positive."""
+    if size <= 4 * len(key):
+        total = np.bincount(key, weight, size)
+        keys = np.flatnonzero(total)
+        return keys, total[keys]
+    keys, back = np.unique(key, return_inverse=True)
+    return keys, np.bincount(back, weight, len(keys))
+
+
 def search(index: Index, window: np.ndarray, word: np.ndarray, p: DecontaminationParams) -> tuple[np.ndarray, np.ndarray]:
     """Windows and items of all pieces that score at least the threshold; (window, word) are the passages' words."""
     slack = 1 - 1e-9
-    t = np.minimum(np.searchsorted(index.terms, word), len(index.terms) - 1)
-    known = index.terms[t] == word
-    pair = np.unique(window[known] * len(index.terms) + t[known])
+    t, known = _terms(index, word)
+    pair = np.sort(window[known] * len(index.terms) + t[known])
+    pair = pair[packed.runs(pair)[0]]
     w, t = pair // len(index.terms), pair % len(index.terms)
     start, length = packed.runs(w)
     if not len(start):
@@ -182,22 +192,21 @@ def search(index: Index, window: np.ndarray, word: np.ndarray, p: Decontaminatio
         e = np.flatnonzero(here)
         who, post = _spread(index.at[tt[e]], index.at[tt[e] + 1] - index.at[tt[e]])
         cell = own[e][who] * index.blocks + index.block[post]
-        cells, back = np.unique(cell, return_inverse=True)
-        bound = np.bincount(back, index.block_max[post], len(cells)) + before[lo:hi][cells // index.blocks]
+        cells, bound = _totals(cell, index.block_max[post], (hi - lo) * index.blocks)
+        bound = bound + before[lo:hi][cells // index.blocks]
         cells = cells[bound >= slack]
         # The remaining cells' lists, of all words of the window.
         win, blk = cells // index.blocks, cells % index.blocks
         c, k = _spread(start[lo:hi][win] - a, length[lo:hi][win])
         flat = tt[k] * index.blocks + blk[c]
-        spot = np.minimum(np.searchsorted(_cells(index), flat), len(index.block) - 1)
-        there = _cells(index)[spot] == flat
+        spot, there = _postings(index, flat)
         c, spot = c[there], spot[there]
         good = np.bincount(c, index.block_max[spot], len(cells)) >= slack
         c, spot = c[good[c]], spot[good[c]]
         o, q = _spread(index.begin[spot], index.begin[spot + 1] - index.begin[spot])
         at = win[c][o] * len(index.item) + index.piece[q]
-        hits, back = np.unique(at, return_inverse=True)
-        hits = hits[np.bincount(back, index.weight[q], len(hits)) >= slack]
+        hits, total = _totals(at, index.weight[q], (hi - lo) * len(index.item))
+        hits = hits[total >= slack]
         found_w.append(w[start[lo:hi]][hits // len(index.item)])
         found_i.append(index.item[hits % len(index.item)])
         lo = hi
@@ -212,6 +221,39 @@ def _cells(index: Index) -> np.ndarray:
     return got
 
 
+#: High bits of a hash by which terms are looked up, and cells up to which a table of all of them is kept.
+_HIGH, _DENSE = 18, 1 << 21
+
+
+def _terms(index: Index, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each word among the terms, and whether it is there: a table of the high bits tells where to begin."""
+    first = index.__dict__.get("first")
+    if first is None:
+        first = index.__dict__["first"] = np.append(np.searchsorted(index.terms, np.arange(1 << _HIGH, dtype=_U) << _U(64 - _HIGH)), len(index.terms))
+    high = (word >> _U(64 - _HIGH)).astype(np.int64)
+    t, end, last = first[high], first[high + 1], len(index.terms) - 1
+    todo = np.flatnonzero(t < end)
+    while len(todo):
+        todo = todo[index.terms[np.minimum(t[todo], last)] < word[todo]]
+        t[todo] += 1
+        todo = todo[t[todo] < end[todo]]
+    return t, (t < end) & (index.terms[np.minimum(t, last)] == word)
+
+
+def _postings(index: Index, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each term * blocks + block among the block postings, and whether it is there."""
+    cells, every = _cells(index), len(index.terms) * index.blocks
+    if every <= _DENSE:
+        table = index.__dict__.get("table")
+        if table is None:
+            table = index.__dict__["table"] = np.full(every, -1, np.int32)
+            table[cells] = np.arange(len(cells))
+        spot = table[flat]
+        return spot, spot >= 0
+    spot = np.minimum(np.searchsorted(cells, flat), len(cells) - 1)
+    return spot, cells[spot] == flat
+
+
 def leaks(arr: pa.Array, items: list[Item], index: Index | None, p: DecontaminationParams) -> list[tuple[int, int, float, float]]:
     """(row, item's position, question overlap, answer overlap) of the items that a column's texts hold."""
     h, _, _, row = tx.words(arr)
