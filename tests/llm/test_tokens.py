@@ -127,3 +127,16 @@ def test_the_order_is_one_of_the_data(spark):
     whole = np.frombuffer(b"".join(made[0][s] for s in sorted(made[0])), "<u2").reshape(n, 32)
     slot = materialize.feistel(np.arange(n), n, p.key, p.rounds)
     assert (whole[slot].reshape(-1) == stream).all()
+
+
+def test_freed_memory_goes_back():
+    """A worker keeps nothing of what its batches needed."""
+    from tritsift.llm import text as tx
+
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4 // 1024  # noqa: E731, SIM115
+    parts = [np.ones(500) for _ in range(50_000)]  # 200 MB in small blocks
+    full, top = held(), np.ones(500)
+    del parts
+    for _ in tx.slices(pa.record_batch({"text": pa.array(["one", "two"])})):
+        pass
+    assert full - held() > 120 and len(top)
