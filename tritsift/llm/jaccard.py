@@ -2,9 +2,9 @@
 
 A document's set is that of its distinct word n-grams. Groups, links and pairs
 come from ``overlap``, which finds all pairs of different sets at least
-``threshold`` alike. ``near_groups`` verifies of them what connects the groups,
-``near_links`` and ``jaccard_pairs`` all; copies aren't expanded into pairs but
-in the last.
+``threshold`` alike. ``near_groups`` verifies of them what connects the groups;
+``near_links`` then counts all within each group, and only ``jaccard_pairs``
+writes them out and expands copies into pairs.
 
 The parity sketches (``block_keys``, ``sketches``, ``_links``) are an approximate
 join in size bands, which loses some links at the threshold and in large
@@ -246,15 +246,17 @@ def near_groups(docs: DataFrame, params: JaccardParams = JaccardParams()) -> Dat
 
 def near_links(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
     """(doc_id, group_id, keep, links): the groups of all pairs, and how many documents each is linked to, copies among them. Of a document that stands with several texts those links count that its sets have to another document's."""
-    members, pairs = _members(docs, params), overlap.pairs(_left_sets(docs, params), params.threshold)
-    many = members.groupBy("cid").agg(F.count("*").alias("many"))
-    both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = both.join(many.withColumnRenamed("cid", "v"), "v").groupBy(F.col("u").alias("cid")).agg(F.sum("many").alias("near"))
+    t, members, sets = params.threshold, _members(docs, params), _left_sets(docs, params)
+    groups = store.cut(_grouped(members, overlap.forest(sets, t)))
+    many = members.groupBy("cid").agg(F.count("*").alias("many"), F.min("doc_id").alias("rep"))
+    label = many.join(groups.select(F.col("doc_id").alias("rep"), F.col("group_id").alias("label")).distinct(), "rep").select("cid", "many", "label")
+    near = overlap.degrees(sets.join(label, "cid"), t)
     linked = members.join(many, "cid").join(near, "cid", "left").select("doc_id", (F.col("many") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
-    several = members.join(members.groupBy("doc_id").agg(F.count("*").alias("sets")).where("sets > 1"), "doc_id")
-    own = several.select("doc_id", F.col("cid").alias("u")).join(both, "u").join(several.select(F.col("doc_id").alias("d"), F.col("cid").alias("v")), "v").where("doc_id = d").select("doc_id", F.lit(-1).cast("bigint").alias("links"))
+    several = members.join(members.groupBy("doc_id").agg(F.count("*").alias("sets")).where("sets > 1"), "doc_id").join(label, "cid")
+    both = several.select("doc_id", F.col("cid").alias("u")).join(several.select("doc_id", F.col("cid").alias("v")), "doc_id").where("u <> v")
+    own = both.join(overlap.alike(both.select("u", "v").distinct(), sets, t), ["u", "v"]).select("doc_id", F.lit(-1).cast("bigint").alias("links"))
     links = linked.where("links > 0").union(own).groupBy("doc_id").agg(F.sum("links").alias("links"))
-    return _grouped(members, pairs).join(links, "doc_id").select("doc_id", "group_id", "keep", "links")
+    return groups.join(links, "doc_id").select("doc_id", "group_id", "keep", "links")
 
 
 def jaccard_pairs(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:

@@ -258,9 +258,7 @@ def left_sets(docs: DataFrame, make, t: float) -> DataFrame:
 
 
 def _verified(met: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    found = packed.exchange(met, _pair_records, _FOUND, _once, "u bigint, v bigint", None)
-    side = lambda x: sets.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
-    return store.cut(found.join(side("u"), "u").join(side("v"), "v").mapInArrow(_alike(t), "u bigint, v bigint, jaccard double"))
+    return store.cut(alike(packed.exchange(met, _pair_records, _FOUND, _once, "u bigint, v bigint", None), sets, t))
 
 
 def pairs(sets: DataFrame, t: float) -> DataFrame:
@@ -282,6 +280,88 @@ def forest(sets: DataFrame, t: float) -> DataFrame:
     return one.union(_verified(packed.exchange(labelled, _prefix_records(t), _GROUPED, _candidates(t), _schema(_FOUND), None), sets, t))
 
 
+#: Sets of a block, and bytes of their tokens as they are packed, beyond which a group is parted into several.
+_BLOCK_SETS, _BLOCK_BYTES = 2048, 4 << 20
+#: Meetings of two sets at a token that are counted together.
+_MEETINGS = 4 << 20
+
+
+def _degrees(t: float):
+    """How many sets of its group each set of a partition is alike to: a set of side 0 is held against those of side 1 in its cell, sets of side 2 against each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: dict[str, list[np.ndarray]] = {c: [] for c in ("cell", "side", "cid", "n", "many")}
+        each: list[np.ndarray] = []
+        for batch in batches:
+            for c, v in cols.items():
+                v.append(batch.column(c).to_numpy())
+            each += [packed.expand(b.as_buffer(), np.dtype("<u8")) for b in batch.column("tokens")]
+        if not each:
+            return
+        a = {c: np.concatenate(v) for c, v in cols.items()}
+        rows = np.argsort(a["cell"], kind="stable")
+        a, each = {c: v[rows] for c, v in a.items()}, [each[r] for r in rows.tolist()]
+        begin, length = packed.runs(a["cell"])
+        base, widest = np.repeat(begin, length), int(length.max())
+        row = np.repeat(np.arange(len(each)), [len(x) for x in each])
+        key = tx.mix(np.concatenate(each) + tx.mix(a["cell"].view(_U))[row])
+        order = np.argsort(key, kind="stable")
+        start, length = packed.runs(key[order])
+        held = row[order]  # the sets that hold a token, one token after another
+        first, many = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+        first[order], many[order] = np.repeat(start, length), np.repeat(length, length)
+        ask = np.flatnonzero((many > 1) & (a["side"][row] != 1))
+        row, first, many = row[ask], first[ask], many[ask]
+        begin, length = packed.runs(row)
+        meets = np.add.reduceat(many, begin) if len(begin) else many
+        near, n = np.zeros(len(each), np.int64), a["n"].astype(np.int64)
+        x = 0
+        while x < len(begin):
+            y = x + max(1, int(np.searchsorted(np.cumsum(meets[x : x + max(1, _MEETINGS // widest)]), _MEETINGS, "right")))
+            e = slice(begin[x], begin[y - 1] + length[y - 1])
+            k = many[e]
+            other = held[np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first[e], k)]
+            mine = np.repeat(np.arange(y - x), length[x:y])
+            count = np.bincount(np.repeat(mine, k) * widest + other - base[other])
+            code = np.flatnonzero(count)
+            same = count[code]
+            u = row[begin[x:y]][code // widest]
+            v = base[u] + code % widest
+            alike = (u != v) & ((a["side"][u] == 2) | (a["side"][v] == 1)) & (same / (n[u] + n[v] - same) >= t - 1e-12)
+            u, v = u[alike], v[alike]
+            np.add.at(near, u, a["many"][v])
+            cross = a["side"][u] == 0
+            np.add.at(near, v[cross], a["many"][u[cross]])
+            x = y
+        yield pa.record_batch({"cid": pa.array(a["cid"]), "near": pa.array(near)}).filter(pa.array(near > 0))
+        tx.tidy()
+
+    return run
+
+
+def degrees(sets: DataFrame, t: float) -> DataFrame:
+    """(cid, near) of the sets that are t alike to others: the sum of those others' ``many``.
+
+    ``sets`` has (cid, n, tokens, many, label), and alike sets have one label.
+    Sets are moved by label and all pairs of a label counted where they meet, so
+    that what is moved and written grows with the sets and not with their pairs.
+    A label of many sets is parted into blocks; every two blocks meet in a task.
+    """
+    room = F.greatest(F.ceil(F.count("*") / _BLOCK_SETS), F.ceil(F.sum(F.length("tokens")) / _BLOCK_BYTES)).cast("int")
+    sets = sets.join(sets.groupBy("label").agg(room.alias("blocks")), "label").withColumn("b", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    sets = sets.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.xxhash64("label", F.least("b", "o"), F.greatest("b", "o"))
+    side = F.when(F.col("b") == F.col("o"), 2).otherwise((F.col("b") > F.col("o")).cast("int"))
+    met = sets.select(cell.alias("cell"), side.alias("side"), "cid", "n", F.col("many").cast("bigint").alias("many"), "tokens")
+    return met.repartition(store.partitions(sets.sparkSession), "cell").mapInArrow(_degrees(t), "cid bigint, near bigint").groupBy("cid").agg(F.sum("near").alias("near"))
+
+
+def alike(some: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+    """(u, v, jaccard): of the given pairs of sets those that are t alike."""
+    side = lambda x: sets.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
+    return some.join(side("u"), "u").join(side("v"), "v").mapInArrow(_alike(t), "u bigint, v bigint, jaccard double")
+
+
 def gram_records(g: np.ndarray, owner: np.ndarray, cid: np.ndarray, size: np.ndarray) -> packed.Arrays:
     """Records of n-grams and the rows that hold them, of sets ``cid`` of ``size`` n-grams."""
     return {"key": g, "lo": (g & _U(0xFFFFFFFF)).astype(np.uint32), "mid": (g >> _U(32) & _U(0xFFFF)).astype(np.uint16), "cid": cid[owner], "n": size[owner].astype(np.int32)}
