@@ -75,6 +75,19 @@ def _scores(arr: pa.Array, weights: np.ndarray, bias: float, p: QualityParams) -
     return 1 / (1 + np.exp(-np.clip(bias + total / np.sqrt(np.maximum(n, 1)), -40, 40)))
 
 
+def _pack(idx: np.ndarray) -> tuple[bytes, bytes]:
+    """A text's distinct feature numbers, as steps, and their counts, compressed."""
+    u, c = np.unique(idx, return_counts=True)
+    return packed.squeeze(np.diff(u, prepend=0).astype("<i4")), packed.squeeze(c.astype("<u4"))
+
+
+def _unpack(i: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers, and their counts over the root of the text's number of n-grams."""
+    count = packed.expand(c, np.dtype("<u4")).astype(np.int64)
+    v = (count / np.sqrt(max(int(count.sum()), 1))).astype(np.float32)
+    return np.cumsum(packed.expand(i, np.dtype("<i4"))), v.astype(float)
+
+
 def _featurize(p: QualityParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,22 +95,19 @@ def _featurize(p: QualityParams):
                 idx, owner = features(piece.column("text"), p)
                 order = np.argsort(owner, kind="stable")
                 ends = np.searchsorted(owner[order], np.arange(piece.num_rows + 1))
-                out_i, out_v = [], []
-                for a, b in zip(ends, ends[1:]):
-                    u, c = np.unique(idx[order[a:b]], return_counts=True)
-                    out_i.append(u.astype("<i4").tobytes())
-                    out_v.append((c / np.sqrt(max(b - a, 1))).astype("<f4").tobytes())
-                yield pa.record_batch({"doc_id": piece.column("doc_id"), "y": piece.column("y"), "i": pa.array(out_i, pa.binary()), "v": pa.array(out_v, pa.binary())})
+                out = [_pack(idx[order[a:b]]) for a, b in zip(ends, ends[1:])]
+                yield pa.record_batch({"doc_id": piece.column("doc_id"), "y": piece.column("y"), "i": pa.array([i for i, _ in out], pa.binary()), "c": pa.array([c for _, c in out], pa.binary())})
 
     return run
 
 
-def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], p: QualityParams) -> tuple[np.ndarray, float]:
-    """Weights and bias from (label, feature numbers, values), rows taken in the given order."""
+def ftrl(rows: list[tuple[int, bytes, bytes]], p: QualityParams) -> tuple[np.ndarray, float]:
+    """Weights and bias from (label, packed features), rows taken in the given order and unpacked one at a time."""
     z, n, w = np.zeros(1 << p.bits), np.zeros(1 << p.bits), np.zeros(1 << p.bits)
     zb = nb = wb = 0.0
     for _ in range(p.epochs):
-        for y, i, v in rows:
+        for y, packed_i, packed_c in rows:
+            i, v = _unpack(packed_i, packed_c)
             zi, ni = z[i], n[i]
             root = np.sqrt(ni)
             wi = np.where(np.abs(zi) <= p.l1, 0.0, (np.sign(zi) * p.l1 - zi) / ((p.beta + root) / p.alpha + p.l2))
@@ -114,16 +124,19 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], p: QualityParams) -> tu
 
 
 def train(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams(), label: str = "quality") -> QualityModel:
-    """Fit on at most ``max_train_rows`` labelled documents; the driver holds only their hashed features."""
+    """Fit on at most ``max_train_rows`` labelled documents; the driver holds only their hashed features, packed, and gives that memory back."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y"))
     known = store.first_by_hash(known, ["doc_id", "y"], params.max_train_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most max_train_rows rows
-    made = rows.select("doc_id", "y", "text").mapInArrow(_featurize(params), "doc_id bigint, y int, i binary, v binary").toArrow()
-    got = sorted(zip(made["doc_id"].to_pylist(), made["y"].to_pylist(), made["i"].to_pylist(), made["v"].to_pylist()), key=lambda r: (hash_order(r[0]), r[2], r[3]))
-    if len({r[1] > 0 for r in got}) < 2:
-        return QualityModel(np.zeros(1 << params.bits, np.float32), 0.0, params)
-    fitted = ftrl([(int(y > 0), np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4").astype(float)) for _, y, i, v in got], params)
-    return QualityModel(*fitted, params)
+    made = rows.select("doc_id", "y", "text").mapInArrow(_featurize(params), "doc_id bigint, y int, i binary, c binary").toArrow()
+    got = sorted(zip(*(made[name].to_pylist() for name in ("doc_id", "y", "i", "c"))), key=lambda r: (hash_order(r[0]), r[2], r[3]))
+    del made
+    model = QualityModel(np.zeros(1 << params.bits, np.float32), 0.0, params)
+    if len({r[1] > 0 for r in got}) == 2:
+        model = QualityModel(*ftrl([(int(y > 0), i, c) for _, y, i, c in got], params), params)
+    del got
+    tx.tidy()
+    return model
 
 
 def hash_order(doc_id: int) -> int:
