@@ -13,7 +13,7 @@ from tritsift.operators import batches as B
 from tritsift.plans import catalog
 from test_queries import value
 
-DOCS, NAMES = 400, ["what_if"]
+DOCS, NAMES = 400, ["what_if", "cosine_overlap"]
 
 
 @pytest.fixture(scope="module")
