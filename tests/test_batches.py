@@ -13,7 +13,7 @@ from tritsift.operators import batches as B
 from tritsift.plans import catalog
 from test_queries import value
 
-DOCS, NAMES = 400, ["what_if", "cosine_overlap", "fusion_merge", "fusion_top1", "fusion_sum", "knn_lsh", "missing_link", "subquery_best"]
+DOCS, NAMES = 400, ["what_if", "cosine_overlap", "fusion_merge", "fusion_top1", "fusion_sum", "knn_lsh", "missing_link", "subquery_best", "explain_match"]
 
 
 @pytest.fixture(scope="module")
