@@ -90,7 +90,7 @@ _OTHERS = "(SELECT q.qid, d.doc_id, sum(q.sgn * d.sgn)::BIGINT AS dot FROM q JOI
 @query(f"{C.VECTORS} SELECT * FROM {top_sql(_OTHERS, 'qid', 'dot', 'doc_id', C.TOP)}")
 def exclude_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits without two documents that count as the item's own, the search giving two more for them."""
-    hits = S.knn(C.item_vectors(spark, sf_dir), C.doc_vectors(spark, sf_dir), C.TOP + 2, "qid", "doc_id")
+    hits = C.doc_hits(spark, sf_dir, C.TOP + 2).select("qid", "doc_id", "dot", "rank")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"))
     own = items.select("qid", F.explode(F.array(F.col("qid"), F.col("qid") + 1)).alias("doc_id"))
     return S.without_inputs(hits, own, "qid", "doc_id", "dot", C.TOP)
