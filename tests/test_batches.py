@@ -13,7 +13,7 @@ from tritsift.operators import batches as B
 from tritsift.plans import catalog
 from test_queries import value
 
-DOCS, NAMES = 400, ["what_if", "cosine_overlap", "fusion_merge", "fusion_top1", "fusion_sum", "knn_lsh", "missing_link", "subquery_best", "explain_match", "index_stats", "knn_exact", "ranking_metrics", "token_and_gold", "tier_recall", "composite_rerank", "query_audit", "exclude_inputs", "tier_weighted_merge", "scorecard_rollup", "filtered_topk"]
+DOCS, NAMES = 400, ["what_if", "cosine_overlap", "fusion_merge", "fusion_top1", "fusion_sum", "knn_lsh", "missing_link", "subquery_best", "explain_match", "index_stats", "knn_exact", "ranking_metrics", "token_and_gold", "tier_recall", "composite_rerank", "query_audit", "exclude_inputs", "tier_weighted_merge", "scorecard_rollup", "filtered_topk", "superpose_docs", "salient_tokens", "analogy"]
 
 
 @pytest.fixture(scope="module")
