@@ -20,17 +20,6 @@ def structural(tokens: DataFrame, key: str, dim: int, k: int, slots: int, keep:
     return V.superpose(slot.union(bigram), key, keep)
 
 
-def sweep(keys: DataFrame, geometries: list[tuple[int, int]]) -> DataFrame:
-    """(dim, k, relation, hit_at_1) of keys as ``search.keyed`` gives them: how often a unique key finds itself first in its shard, at each geometry."""
-    index = keys.select("relation", "subject", "shard", (F.col("n") == 1).alias("asked"))
-    out = None
-    for dim, k in geometries:
-        best = S.lookup(index, dim, k)
-        row = best.groupBy("relation").agg(F.round(F.avg((F.col("subject") == F.col("found")).cast("int")), 6).alias("hit_at_1")).select(F.lit(dim).alias("dim"), F.lit(k).alias("k"), "relation", "hit_at_1")
-        out = row if out is None else out.union(row)
-    return out
-
-
 def kmeans(vectors: DataFrame, key: str, clusters: int, rounds: int, k: int) -> DataFrame:
     """(cluster, size, first, last): seeded centroids, then rounds of assigning by cosine and superposing. A round's vectors are a written table."""
     spark = vectors.sparkSession
