@@ -120,3 +120,10 @@ def widest(spark, query, at) -> int:
 def test_lookup_makes_no_row_for_a_position(spark, triples, name):
     """Of about 1,600 keys and 2,200 triples, neither positions nor pairs become rows."""
     assert 0 < widest(spark, entry.queries()[name], triples) < 5_000
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_chooses_tokens_once(spark, made, name):
+    """No second branch of the plan chooses, encodes and searches the documents again."""
+    plan = entry.queries()[name](spark, made)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("MapInArrow" in line and "pos#" in line for line in plan.splitlines()) <= 1
